@@ -95,8 +95,8 @@ def text_column(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column
 
 
-def blocks(column: pa.Array, *, lower: bool = False, block_bytes: int = _BLOCK_BYTES) -> Iterator[Block]:
-    """The column's rows in blocks; a null row counts as an empty text that is not valid."""
+def blocks(column: pa.Array, *, lower: bool = False, block_bytes: int = _BLOCK_BYTES, space: np.ndarray = SPACE) -> Iterator[Block]:
+    """The column's rows in blocks; a null row counts as an empty text that is not valid. space: of the 256 bytes, those between words."""
     column = text_column(column)
     n = len(column)
     if not n:
@@ -113,13 +113,13 @@ def blocks(column: pa.Array, *, lower: bool = False, block_bytes: int = _BLOCK_B
         own = offsets[at : to + 1] - offsets[at]
         if lower:
             raw = LOWER[raw]
-        yield _block(at, raw, own, valid[at:to])
+        yield _block(at, raw, own, valid[at:to], space)
         at = to
 
 
-def _block(first: int, raw: np.ndarray, own: np.ndarray, valid: np.ndarray) -> Block:
+def _block(first: int, raw: np.ndarray, own: np.ndarray, valid: np.ndarray, space: np.ndarray) -> Block:
     rows = len(own) - 1
-    solid = ~SPACE[raw]
+    solid = ~space[raw]
     cut = np.zeros(len(raw) + 1, bool)  # a row begins here
     cut[own] = True
     begins = solid.copy()
