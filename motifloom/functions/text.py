@@ -25,8 +25,8 @@ def time_text(seconds: Column) -> Column:
 def parse_slice_name(name: Column) -> dict[str, Column]:
     """Parts of a name like SPECIES|chromosome.start-end|...: species, region, start, stop, gene, crick."""
     parts = F.split(name, r"\|")
-    slice_ = F.filter(parts, lambda p: p.rlike(r"\.-?\d+--?\d+$"))[0]
-    gene = F.filter(parts, lambda p: p.rlike("^ENS[A-Z]*[0-9]+$"))[0]
+    slice_ = F.get(F.filter(parts, lambda p: p.rlike(r"\.-?\d+--?\d+$")), F.lit(0))
+    gene = F.get(F.filter(parts, lambda p: p.rlike("^ENS[A-Z]*[0-9]+$")), F.lit(0))
     return {
         "species": parts[0],
         "region": F.regexp_extract(slice_, r"^(.*)\.-?\d+--?\d+$", 1),
@@ -46,3 +46,10 @@ def browser_link(name: Column, base: str = "https://www.ensembl.org") -> Column:
     """A genome browser's address for a slice name."""
     parts = parse_slice_name(name)
     return F.format_string(base + "/%s/Location/View?r=%s:%d-%d", parts["species"], parts["region"], parts["start"], parts["stop"])
+
+
+def short_number(x: Column) -> Column:
+    """A number with six significant digits and no trailing zeros."""
+    digits = F.greatest(F.lit(0), F.least(F.lit(12), 5 - F.floor(F.log10(F.abs(x))).cast("int")))
+    scale = F.pow(F.lit(10.0), digits)
+    return F.when(x == 0, F.lit("0")).otherwise(F.regexp_replace(F.format_string("%.12f", F.round(x * scale) / scale), r"\.?0+$", ""))

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import short_number
+
 UNIFORM = (0.25, 0.25, 0.25, 0.25)
 
 
@@ -79,7 +81,7 @@ def exported(motifs: DataFrame, style: str) -> DataFrame:
     matcompare: `M.name`, a tab-separated line a position, `END`; ahab: `>name Matrix width`, the lines, `<`;
     columns: the lines alone; cisevolver: lines of smoothed frequencies.
     """
-    line = F.format_string("%f %f %f %f", "A", "C", "G", "T") if style == "cisevolver" else F.concat_ws("\t", *(F.format_string("%g", b) for b in "ACGT"))
+    line = F.format_string("%f %f %f %f", "A", "C", "G", "T") if style == "cisevolver" else F.concat_ws("\t", *(short_number(F.col(b)) for b in "ACGT"))
     table = wide(derived(motifs), "freq") if style == "cisevolver" else wide(motifs)
     lines = table.withColumn("line", line).groupBy("motif").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
     body = F.array_join(F.transform("l", lambda x: x["line"]), "\n")

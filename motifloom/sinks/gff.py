@@ -6,18 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.penalty import Weights
+from ..functions.text import short_number
 
 
 def allele_text(snps: Column) -> Column:
     """Code, allele and offset, and the difference of scores, of each record between tabs."""
-    return F.array_join(F.transform(snps, lambda s: F.format_string("%s%s%d %s", s["ambig"], s["allele"], s["offset"], short(s["score_diff"]))), "\t")
-
-
-def short(x: Column) -> Column:
-    """A number with six significant digits and no trailing zeros."""
-    digits = F.greatest(F.lit(0), F.least(F.lit(12), 5 - F.floor(F.log10(F.abs(x))).cast("int")))
-    shown = F.regexp_replace(F.format_string("%.12f", F.round(x * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)), r"\.?0+$", "")
-    return F.when(x == 0, F.lit("0")).otherwise(shown)
+    return F.array_join(F.transform(snps, lambda s: F.format_string("%s%s%d %s", s["ambig"], s["allele"], s["offset"], short_number(s["score_diff"]))), "\t")
 
 
 def site_lines(sites: DataFrame, source: str = "scan") -> DataFrame:
@@ -45,18 +39,19 @@ def module_lines(columns: DataFrame, weights: Weights = Weights(), descriptions:
     named = names.select(place(1, 0, 0, 0).alias("place"), "seq", F.concat(F.lit("#"), "seq", F.lit("\t"), F.coalesce("description", F.lit(""))).alias("value"))
     spans = columns.groupBy("module", "seq").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.max("cum_score").alias("score"))
     by = Window.partitionBy("module")
-    other = F.filter(F.collect_list(F.struct("seq", "begin", "end")).over(by), lambda o: o["seq"] != F.col("seq"))[0]
+    others = F.filter(F.collect_list(F.struct("seq", "begin", "end")).over(by), lambda o: o["seq"] != F.col("seq"))
+    other = F.get(others, F.lit(0))
     tail = F.when(F.count(F.lit(1)).over(by) == 2, F.format_string('\tTarget "%s";\tStart %d;\tEnd %d;\tStrand .;\tFrame .;\t', other["seq"], other["begin"], other["end"])).otherwise("")
     spans = spans.withColumn("tail", tail)
     if model is not None and (m := model.first()) is not None and m["r_squared"] > 0.1:
-        spans = spans.withColumn("tail", F.concat("tail", F.lit("Escore "), short(F.exp(F.lit(m["alpha"]) + F.lit(m["beta"]) * F.col("score"))), F.lit("\t")))
+        spans = spans.withColumn("tail", F.concat("tail", F.lit("Escore "), short_number(F.exp(F.lit(m["alpha"]) + F.lit(m["beta"]) * F.col("score"))), F.lit("\t")))
     if tags is not None:
         spans = spans.join(tags.select(F.col("seq_id").alias("seq"), F.col("seq").alias("letters")), "seq", "left")
         own = F.col("letters").substr(F.col("begin"), F.col("end") - F.col("begin") + 1)
         spans = spans.withColumn("tail", F.concat("tail", F.lit("Tag5 "), F.substring(own, 1, tag_length), F.lit("\tTag3 "), F.right(own, F.lit(tag_length)), F.lit("\t")))
     module_row = F.format_string("%s\tmalign\tCisModule\t%d\t%d\t%4.2f\t.\t.\t%sCM %d", "seq", "begin", "end", "score", F.coalesce("tail", F.lit("")), "module")
     heads = spans.select(place(2, F.col("module"), 0, 0).alias("place"), "seq", module_row.alias("value"))
-    site_row = F.concat(F.format_string("%s\tmalign\t%s\t%d\t%d\t%4.2f\t%s\t.\tCM %d\tMW ", "seq", "motif", "begin", "end", "delta", "strand", "module"), short(F.col("weight")), F.format_string("\tCOL %d\t", "col"))
+    site_row = F.concat(F.format_string("%s\tmalign\t%s\t%d\t%d\t%4.2f\t%s\t.\tCM %d\tMW ", "seq", "motif", "begin", "end", "delta", "strand", "module"), short_number(F.col("weight")), F.format_string("\tCOL %d\t", "col"))
     sites = columns.select(place(2, F.col("module"), 1, F.col("col")).alias("place"), "seq", site_row.alias("value"))
     return top.unionByName(named).unionByName(heads).unionByName(sites).withColumn("place", F.struct("place", "seq")).drop("seq")
 

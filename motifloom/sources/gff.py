@@ -22,7 +22,7 @@ def read_sites(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def attributes(tail: Column) -> Column:
     """Both tail dialects, `Key value;` and `KEY value` between tabs, as a map."""
-    items = F.filter(F.transform(F.split(tail, r"[;\t|]"), F.trim), lambda x: x.rlike(r"^[A-Za-z_]\w*[ =]"))
+    items = F.filter(F.transform(F.split(tail, r"[;\t|]"), lambda x: F.trim(x)), lambda x: x.rlike(r"^[A-Za-z_]\w*[ =]"))
     pairs = F.transform(items, lambda x: F.struct(F.regexp_extract(x, r"^(\w+)", 1).alias("key"), F.regexp_replace(F.regexp_extract(x, r"^\w+[ =]+(.*)$", 1), '^"|"$', "").alias("value")))
     return F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["key"])), lambda k: F.struct(k, F.filter(pairs, lambda p: p["key"] == k)[0]["value"])))
 

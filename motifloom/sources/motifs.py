@@ -17,11 +17,12 @@ def read_motifs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("lines")).dropDuplicates(["file"])
     names = [r["file"] for r in lines.select("file").collect()]
-    common = os.path.commonpath(names) if len(names) > 1 else os.path.dirname(names[0]) if names else ""
+    common = os.path.commonprefix([n.split("/")[:-1] for n in names])
+    folder = "".join(f"{part}/" for part in common)
     rows = lines.select("file", F.filter("lines", lambda x: F.length(F.trim(x)) > 2).alias("rows"))
     wrong = F.size("rows") != 4
     rows = rows.select("file", F.when(wrong, F.raise_error(F.concat(F.lit("not four rows: "), F.col("file")))).otherwise(F.col("rows")).alias("rows"))
-    cells = rows.select(F.expr(f"substring(file, {len(common) + 2})").alias("motif"), F.posexplode("rows").alias("row", "line"))
+    cells = rows.select(F.expr(f"substring(file, {len(folder) + 1})").alias("motif"), F.posexplode("rows").alias("row", "line"))
     cells = cells.select("motif", "row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("pos", "count"))
     return cells.select("motif", "pos", F.substring(F.lit("ACGT"), F.col("row") + 1, F.lit(1)).alias("base"), F.col("count").cast("double").alias("count"))
 
