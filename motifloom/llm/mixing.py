@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .blob import pack, unpack
-from .shared import saved
+from .shared import free_name, saved
 
 U64 = np.uint64
 #: Buckets of words, of their first five bytes, of their last two.
@@ -232,13 +232,14 @@ def mixed(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET,
 def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET, s: Settings = Settings(), *, doc_id: str = "doc_id", text: str = "text", whole_from: float = 0.5) -> DataFrame:
     """The rows of docs, each as often as its rate says; doc_id is taken to be distinct (rows that share one go by the highest rate)."""
     rated, _ = mixed(docs, labels, target, s, doc_id=doc_id, text=text)
-    n = copies(F.col("rate"), F.col(doc_id), whole_from=whole_from)
     plan = saved(rated.groupBy(F.col(doc_id).alias("mixed_")).agg(F.max("rate").alias("rate")).select("mixed_", copies(F.col("rate"), F.col("mixed_"), whole_from=whole_from).alias("n_")).where("n_ != 1"), "mixing-plan")
     if plan.count() <= 2_000_000:
         plan = F.broadcast(plan)
-    rows = docs.alias("d").join(plan, F.col(f"d.`{doc_id}`").eqNullSafe(F.col("mixed_")), "left")
-    times = F.when(F.coalesce("n_", F.lit(1)) > 0, F.sequence(F.lit(1), F.coalesce("n_", F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return rows.select("d.*", F.explode(times).alias("copy_")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.alias("d").join(plan.alias("m"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("m.mixed_")), "left")
+    n = F.coalesce("m.n_", F.lit(1))
+    times = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    copy = free_name(docs, "copy")
+    return rows.select("d.*", F.explode(times).alias(copy)).drop(copy)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

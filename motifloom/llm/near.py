@@ -318,7 +318,7 @@ def drop_near_duplicates(docs: DataFrame, s: Settings = Settings(), *, doc_id: s
     found = near_components(docs, s, doc_id=doc_id, text=text)
     gone = saved(found.where("id != component").select("id").distinct(), "near-gone")
     gone = _small(gone.withColumnRenamed("id", "gone_"), s.broadcast_ids)
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("gone_"), "left_anti")
+    return docs.alias("d").join(gone.alias("g"), F.col(f"d.`{doc_id}`") == F.col("g.gone_"), "left_anti")
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .shared import saved
+from .shared import free_name, saved
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
@@ -182,13 +182,6 @@ def judged(counted: DataFrame, by: tuple[str, str], name: str, counts: str = "",
     return _apply(counted, judged_table(counted, by, counts, settings), by, counts, name)
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    taken = {c.lower() for c in df.columns}
-    while base.lower() in taken:
-        base += "_"
-    return base
-
-
 def filter_quality(docs: DataFrame, *, text: str = "text", by: tuple[str, str] = ("lang", "source"), settings: Settings = Settings()) -> DataFrame:
     """The rows of docs that fail no rule, with the columns of docs."""
     counts, failed = free_name(docs, "quality_counts"), free_name(docs, "quality_failed")
