@@ -57,7 +57,7 @@ _cache: dict[str, np.ndarray] = {}
 
 
 def _table(name: str, base: int, n: int) -> np.ndarray:
-    if len(_cache.get(name, ())) < n:
+    if name not in _cache or len(_cache[name]) < n:
         _cache[name] = _powers(base, max(n, _BLOCK_BYTES + 1_000_000))
     return _cache[name][:n]
 
