@@ -9,14 +9,16 @@ all values they share one among the first few of each. Those first few, frequent
 values last, go into inverted lists. The order only shortens the lists.
 
 Each list links its members to its most listed member (its hub), not all to all.
-A pair is estimated from the union of its two sketches, and decided by it where
+A pair whose signatures (four bits of the lowest hash in each of 32 ranges) agree
+too seldom is let go; others are estimated from the union of their sketches, and
+decided by it where
 both sets fit into their sketches; others that the estimate doesn't rule out (six
 standard deviations below the threshold) are decided by their whole sets. Then
-every list whose members are still in several components goes on: short ones pair
-the members of different components, longer ones take one more member at a time
-as hub against all others, until no pair of a list is both undecided and between
+every list whose members are still in several components goes on: members outside
+its main component are taken as further hubs against all others, a few at first
+and more in every round, until no pair of a list is both undecided and between
 components. So no link is lost, and a list costs its length times the number of
-components in it, not its square.
+its members that stay outside its main component.
 
 Edge cases: a text of fewer words than a shingle has its whole sequence as one
 shingle; one without words, or null, is linked with nothing; rows that repeat an
@@ -32,14 +34,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .shared import saved
+from .shared import discard, saved
 
 U64 = np.uint64
+_BINS = 32
+#: Of two sets alike in 0.8 each range agrees with a probability of 0.8 at least, so fewer agree with one below 1e-8.
+_AGREE = 10
 
 
 @dataclass(frozen=True)
@@ -48,7 +53,7 @@ class Settings:
     threshold: int = 80  # per cent
     k: int = 64  # values in a sketch
     frequent: int = 50_000  # values whose counts set the order
-    short: int = 48  # members up to which a list is paired directly
+    budget: int = 16_384  # pairs that a list forms in the second round, at most; four times as many in each later one
     broadcast_ids: int = 2_000_000  # ids that a join may send to all tasks
     broadcast_hubs: int = 20_000
     broadcast_bytes: int = 32_000_000  # of hubs' texts
@@ -82,6 +87,28 @@ def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
+def _signatures(row: np.ndarray, g: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Four bits of the lowest hash of each of _BINS ranges of hashes, as two longs a row; none for an empty range."""
+    bins = (g >> U64(59)).astype(np.int64)
+    first = np.ones(len(g), bool)
+    first[1:] = (row[1:] != row[:-1]) | (bins[1:] != bins[:-1])
+    table = np.zeros((rows, _BINS), U64)
+    table[row[first], bins[first]] = (W.mix(g[first]) & U64(15)) << (bins[first] % 16 * 4).astype(U64)
+    halves = table.reshape(rows, 2, 16).sum(axis=2, dtype=U64).view(np.int64)
+    return halves[:, 0], halves[:, 1]
+
+
+def _may_be_alike(a: str, b: str):
+    """Whether the signatures of two rows agree in _AGREE ranges at least. a, b: prefixes of their columns' names."""
+    differing = F.lit(0)
+    for name in ("s1", "s2"):
+        x = F.col(a + name).bitwiseXOR(F.col(b + name))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        differing = differing + F.bit_count(x)
+    return differing <= _BINS - _AGREE
+
+
 def _sketch(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,8 +122,8 @@ def _sketch(s: Settings):
                     np.cumsum(W.mix(g ^ U64(salt)), out=total[1:])
                     sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
                 low = np.arange(len(g)) - bounds[row] < s.k
-                columns = [batch.column("id").slice(b.first, b.rows), pa.array(n), *(pa.array(x) for x in sums), _binary(g[low], np.minimum(n, s.k))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "sketch"])
+                columns = [batch.column("id").slice(b.first, b.rows), pa.array(n), *(pa.array(x) for x in sums), *(pa.array(x) for x in _signatures(row, g, b.rows)), _binary(g[low], np.minimum(n, s.k))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "s1", "s2", "sketch"])
 
     return run
 
@@ -261,17 +288,19 @@ def near_components(docs: DataFrame, s: Settings = Settings(), *, doc_id: str =
     """id, n (set size), component (lowest id reachable) of every row of docs."""
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = docs.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")), T.StructField("sketch", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("n", "d1", "d2", "s1", "s2")), T.StructField("sketch", T.BinaryType())])
     every = saved(docs.mapInArrow(_sketch(s), schema), "near-sketches")
     classes = every.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
     classes = saved(classes, "near-classes")
     reps = classes.where("rep is not null").select(F.col("rep").alias("id"), "n", "d1", "d2")
-    sketches = saved(every.join(_small(reps, s.broadcast_ids), ["id", "n", "d1", "d2"], "left_semi").dropDuplicates(["id", "n", "d1", "d2"]).select("id", "n", "sketch"), "near-reps")
+    sketches = saved(every.join(_small(reps, s.broadcast_ids), ["id", "n", "d1", "d2"], "left_semi").dropDuplicates(["id", "n", "d1", "d2"]).select("id", "n", "s1", "s2", "sketch"), "near-reps")
+    small = saved(every.select("id", "n", "d1", "d2"), "near-every")
+    discard(every)
     links = _all_links(sketches, docs, kind, s)
     label = components(links)
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     named = saved(named, "near-named")
-    out = every.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
+    out = small.join(named, ["n", "d1", "d2"], "left")
     return out.select("id", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
@@ -285,32 +314,35 @@ def _all_links(sketches: DataFrame, docs: DataFrame, kind: T.DataType, s: Settin
     listed = saved(listed, "near-listed")
     sizes = listed.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     lists = saved(listed.join(sizes, "value"), "near-lists")
-    known = lists.groupBy("id").agg(F.sum("m").alias("listings"))
-    lists = saved(lists.join(known, "id"), "near-lists")
-    hubs = lists.groupBy("value").agg(F.max(F.struct("listings", "id", "n")).alias("hub"))
-    pairs = lists.join(hubs, "value").where((F.col("hub.id") != F.col("id")) & _alike_sizes("hub.n", "n", s))
+    discard(listed)
+    known = lists.groupBy("id").agg(F.sum("m").alias("listings")).join(_small(sketches.select("id", "s1", "s2"), s.broadcast_ids), "id")
+    bare, lists = lists, saved(lists.join(_small(known, s.broadcast_ids), "id"), "near-lists")
+    discard(bare)
+    hubs = saved(lists.groupBy("value").agg(F.max(F.struct("listings", "id", "n", "s1", "s2")).alias("hub")), "near-list-hubs")
+    pairs = lists.join(hubs, "value").where((F.col("hub.id") != F.col("id")) & _alike_sizes("hub.n", "n", s) & _may_be_alike("hub.", ""))
     links = saved(linked_pairs(pairs.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), sketches, docs, s), "near-linked")
     # the hub has met all others of its list; what is left of a list has several components, or is done
-    rest = lists.join(hubs, "value").where(F.col("hub.id") != F.col("id")).select("value", "id", "n", "listings")
+    rest = lists.join(hubs, "value").where(F.col("hub.id") != F.col("id")).select("value", "id", "n", "listings", "s1", "s2")
+    budget = s.budget
     while True:
         label = components(links)
-        rest = rest.drop("component").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rest = rest.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         rest = saved(rest, "near-rest")
-        state = rest.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same"))
-        open_lists = state.where("c1 != c2").groupBy("m", "same").agg(F.min("value").alias("value"))  # lists of the same members are one
-        open_lists = saved(open_lists.select("value", "m"), "near-open")
+        each = rest.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same"))
+        state = each.groupBy("value").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("same").alias("same"), F.max_by("component", F.struct("c", "component")).alias("main"))
+        open_lists = state.where("parts > 1").groupBy("m", "same").agg(F.min_by("value", "value").alias("value"), F.min_by("main", "value").alias("main"))  # lists of the same members are one
+        open_lists = saved(open_lists.select("value", "m", "main"), "near-open")
         if open_lists.isEmpty():
             return links
         rest = saved(rest.join(open_lists, "value"), "near-rest")
-        short, long = rest.where(F.col("m") <= s.short), rest.where(F.col("m") > s.short)
-        left = short.select("value", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-        right = short.select("value", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-        met = left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _alike_sizes("n_a", "n_b", s)).select("a", "b")
-        pivots = long.groupBy("value").agg(F.max(F.struct("listings", "id", "n", "component")).alias("hub"))
-        facing = long.join(pivots, "value")
-        tried = facing.where((F.col("hub.component") != F.col("component")) & _alike_sizes("hub.n", "n", s)).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
-        links = saved(links.unionByName(linked_pairs(met.unionByName(tried).distinct(), sketches, docs, s)), "near-linked")
-        rest = facing.where(F.col("hub.id") != F.col("id")).select("value", "id", "n", "listings")
+        nth = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("listings"), "id"))
+        minor = rest.where("component != main").withColumn("nth", nth).where(F.col("nth") * F.col("m") <= F.greatest(F.lit(budget), F.col("m")))
+        pivots = saved(minor.select("value", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("s1").alias("a_s1"), F.col("s2").alias("a_s2")), "near-pivots")
+        met = rest.join(pivots, "value").where((F.col("component") != F.col("c_a")) & _alike_sizes("n", "n_a", s) & _may_be_alike("a_", ""))
+        links = saved(links.unionByName(linked_pairs(met.select("a", F.col("id").alias("b")).distinct(), sketches, docs, s)), "near-linked")
+        met_all = pivots.select("value", F.col("a").alias("id"))
+        rest = rest.join(met_all, ["value", "id"], "left_anti").select("value", "id", "n", "listings", "s1", "s2")
+        budget *= 4
 
 
 def drop_near_duplicates(docs: DataFrame, s: Settings = Settings(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ place; others are first copied to an unnamed local file.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -31,7 +32,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what saved() wrote for df, which nothing may read any more, and lets the shuffle files of finished jobs go."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    jvm.System.gc()  # the cleaner deletes a shuffle once the driver has let go of it
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -53,11 +53,11 @@ def corpus(seed, groups=12, biggest=70):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("size,k,short", [(2, 64, 48), (5, 16, 4)])
-def test_components_equal_brute_force(spark, size, k, short):
+@pytest.mark.parametrize("size,k,budget", [(2, 64, 16_384), (5, 16, 20)])
+def test_components_equal_brute_force(spark, size, k, budget):
     rows = corpus(size)
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, component int").repartition(5)
-    got = {r["id"]: r for r in near.near_components(docs, near.Settings(words=size, k=k, short=short)).collect()}
+    got = {r["id"]: r for r in near.near_components(docs, near.Settings(words=size, k=k, budget=budget)).collect()}
     want = brute(rows, size)
     assert {i: r["component"] for i, r in got.items()} == want
     assert all(got[i]["n"] == len(shingles(t, size)) for i, t in rows)
