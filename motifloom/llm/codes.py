@@ -17,6 +17,7 @@ beyond the code's length are left out.
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 from itertools import combinations
@@ -40,7 +41,8 @@ def _segment(code: str, s: int, width: int) -> Column:
 
 
 def _masks(width: int, radius: int) -> Column:
-    return F.array(*(F.lit(sum(1 << b for b in bits)).cast("long") for bits in combinations(range(width), radius)))
+    masks = [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
+    return F.from_json(F.lit(json.dumps(masks)), "array<long>")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -75,7 +77,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         probes = probes.select("query", "p.s", "p.own", F.explode("masks").alias("mask")).select("query", "s", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         gaps = [F.bit_count(_segment("query", s, width).bitwiseXOR(_segment("code", s, width))) for s in range(segments)]
         first = F.array_position(F.array(*gaps), F.lit(r)) - 1 == F.col("s")
-        met = probes.join(index, ["s", "value"]).where((F.array_min(F.array(*gaps)) == r) & first)
+        # by shuffle: the planner takes the probes for as few rows as there are queries, and would broadcast them
+        met = probes.join(index.hint("merge"), ["s", "value"]).where((F.array_min(F.array(*gaps)) == r) & first)
         met = met.select("query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"), F.explode("ids").alias("id"))
         if best is not None:
             met = met.unionByName(best.select("query", "distance", "id"))
