@@ -68,24 +68,26 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     parts = F.array(*(F.struct(F.lit(s).alias("s"), _segment("code", s, width).alias("value")) for s in range(segments)))
     index = saved(entries.select(F.explode(parts).alias("p"), "code", "ids").select("p.s", "p.value", "code", "ids"), "code-index")
     asked = saved(queries.where("code is not null").select(F.col("code").alias("query")).distinct(), "code-queries")
-    open_queries, best = asked, None
+    open_queries, best = asked.withColumn("far", F.lit(BITS)), None  # far: no code beyond can be among the k nearest
     for r in range(width + 1):
         if open_queries.isEmpty():
             break
         probes = F.array(*(F.struct(F.lit(s).alias("s"), _segment("query", s, width).alias("own")) for s in range(segments)))
-        probes = open_queries.select("query", F.explode(probes).alias("p"), _masks(width, r).alias("masks"))
-        probes = probes.select("query", "p.s", "p.own", F.explode("masks").alias("mask")).select("query", "s", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        probes = open_queries.select("query", "far", F.explode(probes).alias("p"), _masks(width, r).alias("masks"))
+        probes = probes.select("query", "far", "p.s", "p.own", F.explode("masks").alias("mask")).select("query", "far", "s", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         gaps = [F.bit_count(_segment("query", s, width).bitwiseXOR(_segment("code", s, width))) for s in range(segments)]
         first = F.array_position(F.array(*gaps), F.lit(r)) - 1 == F.col("s")
         # by shuffle: the planner takes the probes for as few rows as there are queries, and would broadcast them
-        met = probes.join(index.hint("merge"), ["s", "value"]).where((F.array_min(F.array(*gaps)) == r) & first)
-        met = met.select("query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"), F.explode("ids").alias("id"))
+        distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
+        met = probes.join(index.hint("merge"), ["s", "value"]).where((F.array_min(F.array(*gaps)) == r) & first & (distance <= F.col("far")))
+        met = met.select("query", distance.alias("distance"), F.explode("ids").alias("id"))
         if best is not None:
             met = met.unionByName(best.select("query", "distance", "id"))
         best = saved(_best(met, k), "code-best")
         state = best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
         done = state.where((F.col("n") >= reach) & ((F.col("far") <= segments * (r + 1) - 1) | F.lit(reach < k)))
-        open_queries = saved(open_queries.join(done, "query", "left_anti"), "code-open")
+        left = open_queries.select("query").join(done, "query", "left_anti").join(state, "query", "left")
+        open_queries = saved(left.select("query", F.when(F.col("n") >= k, F.col("far")).otherwise(BITS).alias("far")), "code-open")
     if best is None:
         best = asked.select("query", F.lit(0).alias("distance"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(0).alias("rank")).where("false")
     named = queries.where("code is not null").select("query_id", F.col("code").alias("query"))
