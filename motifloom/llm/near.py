@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +55,7 @@ class Settings:
     k: int = 64  # values in a sketch
     frequent: int = 50_000  # values whose counts set the order
     budget: int = 16_384  # pairs that a list forms in the second round, at most; four times as many in each later one
+    batch_rows: int = 1000  # rows that a Python worker gets at a time
     broadcast_ids: int = 2_000_000  # ids that a join may send to all tasks
     broadcast_hubs: int = 20_000
     broadcast_bytes: int = 32_000_000  # of hubs' texts
@@ -214,9 +216,9 @@ def _exact(s: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = W.text_column(batch.column("text_a")), W.text_column(batch.column("text_b"))
-            sizes = [len(x or "") + len(y or "") for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
-            part = np.cumsum(sizes) // 2_000_000
+            a, b = batch.column("text_a"), batch.column("text_b")
+            sizes = pc.add(pc.cast(pc.binary_length(a), "int64"), pc.cast(pc.binary_length(b), "int64"))
+            part = np.cumsum(np.asarray(sizes)) // 2_000_000
             linked = np.zeros(len(batch), bool)
             for p in np.unique(part):
                 at = np.flatnonzero(part == p)
@@ -287,6 +289,16 @@ def _alike_sizes(a: str, b: str, s: Settings):
 def near_components(docs: DataFrame, s: Settings = Settings(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n (set size), component (lowest id reachable) of every row of docs."""
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    conf, batch = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(batch)
+    conf.set(batch, s.batch_rows)  # pairs of texts come in these batches, so they are kept short
+    try:
+        return _near_components(docs, s)
+    finally:
+        conf.set(batch, before)
+
+
+def _near_components(docs: DataFrame, s: Settings) -> DataFrame:
     kind = docs.schema["id"].dataType
     schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("n", "d1", "d2", "s1", "s2")), T.StructField("sketch", T.BinaryType())])
     every = saved(docs.mapInArrow(_sketch(s), schema), "near-sketches")
