@@ -27,13 +27,14 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The pre-token pattern of the vocabulary's tokenizer.
-PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SPLIT = regex.compile(PRETOKEN)
+#: The letters and numbers below U+0220, as the tokenizer's pattern knows them, and that pattern:
+#: '(?:s|t|re|ve|m|ll|d), then letters, numbers or other signs with a blank before them, then white space.
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u021f"
+_NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
 _UNSAFE = re.compile("[\x1c-\x1f\x85\u0220-\u1fff\u2070-\U0010ffff]")
 _BLOCK_CHARS = 500_000
 _CACHE_ENTRIES = 400_000
@@ -103,7 +104,7 @@ def _merged(blobs, capacity: int) -> list[tuple[str, int]]:
     return total.most_common(capacity)
 
 
-def frequent_pretokens(docs: DataFrame, size: int, fan_in: int = 64) -> list[str]:
+def frequent_pretokens(docs: DataFrame, size: int, fan_in: int = 16) -> list[str]:
     """About the `size` most frequent pre-tokens of all texts, from bounded summaries of the tasks."""
     tops = docs.mapInArrow(_frequent(size), "part int, top binary")
     parts = docs.rdd.getNumPartitions()
