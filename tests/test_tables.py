@@ -55,8 +55,8 @@ def test_motif_files(spark, tmp_path):
 def test_sites_write_and_read(spark, tmp_path):
     rows = [("s", "m", 3, 8, 9.5, "+", 9.5, []), ("s", "m", 13, 18, 1.25, "-", 1.0, [("R", "A", 2, 0.5), ("Y", "N", 4, -1.25)])]
     sites = spark.createDataFrame(rows, "seq string, motif string, begin int, end int, score double, strand string, alt_score double, snps array<struct<ambig: string, allele: string, offset: int, score_diff: double>>")
-    lines = sorted(r["value"] for r in gff.site_lines(sites, "eel").collect())
-    assert lines[1] == "s\teel\tm\t3\t8\t9.500000\t+\t.\t"
+    lines = sorted(r["value"] for r in gff.site_lines(sites, "scanner").collect())
+    assert lines[1] == "s\tscanner\tm\t3\t8\t9.500000\t+\t.\t"
     assert lines[0].endswith("RA2 0.5\tYN4 -1.25")
     path = str(tmp_path / "out.gff.gz")
     gff.write_lines(gff.site_lines(sites), path)
