@@ -292,6 +292,10 @@ _SITE = ("seq", "motif", "begin", "end", "score", "strand")
 
 def align_groups(sites: DataFrame, groups: DataFrame, n: int = 3, weights: Weights = Weights(), **how) -> DataFrame:
     """Columns of the n best modules of each group. groups: group, seq, nth (one row a sequence of a group, in order)."""
+    return _aligned(sites.select(*_SITE).join(groups, "seq"), n, weights, **how)
+
+
+def _aligned(grouped: DataFrame, n: int, weights: Weights, **how) -> DataFrame:
     schema = f"group string, {schemas.COLUMNS}"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -300,7 +304,7 @@ def align_groups(sites: DataFrame, groups: DataFrame, n: int = 3, weights: Weigh
         out.insert(0, "group", pdf["group"].iloc[0])
         return out
 
-    return sites.select(*_SITE).join(groups, "seq").groupBy("group").applyInPandas(run, schema)
+    return grouped.groupBy("group").applyInPandas(run, schema)
 
 
 def groups_of(sites: DataFrame, names: list[str], group: str = "all") -> DataFrame:
@@ -319,9 +323,15 @@ def align_short(sites: DataFrame, names: list[str], gap_limit: int = 0, n: int =
 
 def align_near_pairs(sites: DataFrame, modules: DataFrame, names: list[str], gap_limit: int = 0, n: int = 1, buffer: int = 1000, weights: Weights = Weights()) -> DataFrame:
     """align_short on the sites within buffer of a pairwise module. modules: seq, begin, end."""
-    near = modules.select(F.col("seq").alias("m_"), (F.col("begin") - buffer).alias("low_"), (F.col("end") + buffer).alias("high_"))
-    inside = (F.col("seq") == F.col("m_")) & (F.col("begin") >= F.col("low_")) & (F.col("end") <= F.col("high_"))
-    return align_short(sites.join(near, inside, "left_semi"), names, gap_limit, n, weights)
+    return align_groups_near_pairs(sites, modules.withColumn("group", F.lit("all")), groups_of(sites, names), gap_limit, n, buffer, weights).drop("group")
+
+
+def align_groups_near_pairs(sites: DataFrame, modules: DataFrame, groups: DataFrame, gap_limit: int = 0, n: int = 1, buffer: int = 1000, weights: Weights = Weights()) -> DataFrame:
+    """For each group, the alignment of its sites within buffer of one of its pairwise modules. modules: group, seq, begin, end."""
+    near = modules.select(F.col("group").alias("g_"), F.col("seq").alias("m_"), (F.col("begin") - buffer).alias("low_"), (F.col("end") + buffer).alias("high_"))
+    inside = (F.col("group") == F.col("g_")) & (F.col("seq") == F.col("m_")) & (F.col("begin") >= F.col("low_")) & (F.col("end") <= F.col("high_"))
+    grouped = sites.select(*_SITE).join(groups, "seq").join(near, inside, "left_semi")
+    return _aligned(grouped, n, weights, bonus="chain", gap_limit=gap_limit)
 
 
 def islands(cells: DataFrame) -> DataFrame:

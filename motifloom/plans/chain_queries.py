@@ -46,12 +46,16 @@ def align_down_to(spark, sf_dir):
 
 
 def align_near_pairs(spark, sf_dir):
-    """The best module of the tree's first three sequences, on the sites near their pairwise modules."""
-    own = I.sites(spark, sf_dir)
-    pair = stored(chain.align(own, ["0", "1"], 3), "pair")
-    spans = pair.groupBy("module", "seq").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    third = own.where("seq = '2'").groupBy("seq").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    return chain.align_near_pairs(own, spans.select("seq", "begin", "end").unionByName(third), ["0", "1", "2"])
+    """The best module of every three sequences in a row, on the third's sites and those near the first two's pairwise modules."""
+    return near_pairs_of(I.sites(spark, sf_dir), _groups(spark, sf_dir, 2), _groups(spark, sf_dir, 3))
+
+
+def near_pairs_of(sites, pairs, triples):
+    """pairs, triples: group, seq, nth. A triple's pair is that of its group."""
+    found = stored(chain.align_groups(sites, pairs, 3), "pair")
+    spans = found.groupBy("group", "module", "seq").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    third = sites.join(triples.where("nth = 2"), "seq").groupBy("group", "seq").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return chain.align_groups_near_pairs(sites, spans.select("group", "seq", "begin", "end").unionByName(third), triples)
 
 
 def _tree(spark, sf_dir, method: str):
@@ -93,29 +97,39 @@ def contained_modules(spark, sf_dir):
     return merge.contained(_pairwise(spark, sf_dir))
 
 
-def _first_pair(spark, sf_dir):
-    return chain.align(I.sites(spark, sf_dir), ["0", "1"], 3)
+def numbered(found):
+    """Columns of the modules of groups, module as one number over all groups: the group's ten times, and the rank."""
+    return found.withColumn("module", (F.col("group").cast("long") * 10 + F.col("module")).cast("int"))
+
+
+def _modules(spark, sf_dir, size: int):
+    """Columns of the three best modules of every so many sequences in a row."""
+    return stored(numbered(chain.align_groups(I.sites(spark, sf_dir), _groups(spark, sf_dir, size), 3)), "modules")
 
 
 def score_terms(spark, sf_dir):
-    return stats.score_terms(_first_pair(spark, sf_dir))
+    return stats.score_terms(_modules(spark, sf_dir, 2))
 
 
 def module_gff(spark, sf_dir):
-    return gff.module_lines(_first_pair(spark, sf_dir)).select("value")
+    return gff.module_lines(_modules(spark, sf_dir, 2)).select("value")
 
 
 def module_anchors(spark, sf_dir):
-    return gff.anchor_lines(_first_pair(spark, sf_dir), "0", "1")
+    return pair_anchors(_modules(spark, sf_dir, 2))
+
+
+def pair_anchors(modules):
+    return gff.anchor_lines(modules, F.col("group"), (F.col("group").cast("long") + 1).cast("string"))
 
 
 def module_text(spark, sf_dir):
-    return text.module_texts(_first_pair(spark, sf_dir))
+    return text.module_texts(_modules(spark, sf_dir, 2))
 
 
 def pairwise_base(spark, sf_dir):
-    own = I.sites(spark, sf_dir)
-    return text.pairwise_base(_first_pair(spark, sf_dir), chain.align(own, ["0", "1", "2"], 3))
+    """The columns of all pairs, and whether a column of any three sequences in a row has both sites."""
+    return text.pairwise_base(_modules(spark, sf_dir, 2).drop("group"), _modules(spark, sf_dir, 3))
 
 
 def parameter_search(spark, sf_dir):

@@ -56,10 +56,14 @@ def module_lines(columns: DataFrame, weights: Weights = Weights(), descriptions:
     return top.unionByName(named).unionByName(heads).unionByName(sites).withColumn("place", F.struct("place", "seq")).drop("seq")
 
 
-def anchor_lines(columns: DataFrame, x: str, y: str) -> DataFrame:
-    """module, col, value: x, y, where the site begins in each, its end less its begin, and what the column adds."""
-    sides = columns.groupBy("module", "col").agg(*(F.max(F.when(F.col("seq") == s, F.col(c))).alias(f"{c}_{n}") for s, n in ((x, "x"), (y, "y")) for c in ("begin", "end")), F.max("delta").alias("delta"))
-    fields = [F.lit(x), F.lit(y), F.col("begin_x").cast("string"), F.col("begin_y").cast("string"), (F.col("end_x") - F.col("begin_x")).cast("string"), F.col("delta").cast("string")]
+def anchor_lines(columns: DataFrame, x: str | Column, y: str | Column) -> DataFrame:
+    """module, col, value: x, y, where the site begins in each, its end less its begin, and what the column adds.
+
+    x, y: names, or columns with the names of each module's two sequences.
+    """
+    named = columns.withColumns({"x_": F.lit(x), "y_": F.lit(y)})
+    sides = named.groupBy("module", "col", "x_", "y_").agg(*(F.max(F.when(F.col("seq") == F.col(s), F.col(c))).alias(f"{c}_{n}") for s, n in (("x_", "x"), ("y_", "y")) for c in ("begin", "end")), F.max("delta").alias("delta"))
+    fields = ["x_", "y_", F.col("begin_x").cast("string"), F.col("begin_y").cast("string"), (F.col("end_x") - F.col("begin_x")).cast("string"), F.col("delta").cast("string")]
     return sides.select("module", "col", F.concat_ws("\t", *fields).alias("value"))
 
 
