@@ -190,6 +190,8 @@ def step_lists(cells: Cells, w: Weights, method: str = "pairs", split: int | Non
     general: one penalty about the mean gap.
     """
     n, d = cells.begin.shape
+    if n < 2:
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0)
     ends = [0, min(1, d - 1)]
     source, target = _near(cells.begin[:, ends], cells.end[:, ends])
     gap = cells.begin[target] - cells.end[source]

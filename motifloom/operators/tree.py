@@ -52,12 +52,12 @@ class Columns:
 
 
 def _joined(a: Columns, b: Columns) -> Cells:
-    pairs = pd.DataFrame({"label": a.label, "i": np.arange(len(a.label))}).merge(pd.DataFrame({"label": b.label, "j": np.arange(len(b.label))}), on="label")
-    i, j = pairs["i"].to_numpy(), pairs["j"].to_numpy()
+    i, j = np.nonzero(a.label[:, None] == b.label)
+    label = a.label[i]
     both = lambda x, y: np.concatenate([x[i], y[j]], axis=1)
     begin, end, weight = both(a.begin, b.begin), both(a.end, b.end), both(a.weight, b.weight)
-    order = np.lexsort((begin[:, -1], pairs["label"], end[:, 0], begin[:, 0])) if len(pairs) else np.zeros(0, np.int64)
-    return Cells(begin[order], end[order], weight[order], pairs["label"].to_numpy()[order], np.stack([i, j], axis=1)[order])
+    order = np.lexsort((begin[:, -1], label, end[:, 0], begin[:, 0]))
+    return Cells(begin[order], end[order], weight[order], label[order], np.stack([i, j], axis=1)[order])
 
 
 def aligned_columns(a: Columns, b: Columns, n: int, method: str, w: Weights) -> list[tuple[float, Columns, np.ndarray]]:
@@ -121,6 +121,62 @@ def align_tree(sites: DataFrame, tree: Node, method: str = "pairs", k: int = 100
     return {n.number: _columns(found[n.number], names) for n in tree.post_order() if n.name is None}
 
 
+def _best(parts: list[tuple[float, Columns, np.ndarray]], k: int) -> list[tuple[float, Columns, np.ndarray]]:
+    place = lambda p: (-p[0], p[1].begin.tolist(), p[1].end.tolist(), p[1].label.tolist())
+    return sorted(parts, key=place)[:k]
+
+
+def tree_frame(sites: pd.DataFrame, tree: Node, names: dict[str, str], n: int, method: str, k: int, w: Weights) -> pd.DataFrame:
+    """The n best modules at the root, as align_tree finds them. names: the sequence of each leaf."""
+    keys = sorted(set(zip(sites["motif"], sites["strand"], strict=True)))
+    labels = {key: i for i, key in enumerate(keys)}
+    found: dict[int, list[tuple[float, Columns, np.ndarray]]] = {}
+    for node in tree.post_order():
+        if node.name is not None:
+            own = sites[sites["seq"] == names.get(node.name)].sort_values(["begin", "end", "motif", "strand"], kind="stable")
+            label = np.array([labels[key] for key in zip(own["motif"], own["strand"], strict=True)], np.int64)
+            columns = Columns([names.get(node.name, "")], label, *(own[c].to_numpy()[:, None] for c in ("begin", "end", "score")))
+            found[node.number] = [(0.0, columns, np.zeros(len(own)))]
+            continue
+        left, right = (found.pop(c.number) for c in node.children)
+        each = (k, math.ceil(math.sqrt(k)), 1)[sum(c.name is None for c in node.children)]
+        own_labels = [set(b.label.tolist()) for _, b, _ in right]
+        parts: list[tuple[float, Columns, np.ndarray]] = []
+        for _, a, _ in left:
+            held = set(a.label.tolist())
+            for (_, b, _), other in zip(right, own_labels, strict=True):
+                if not held.isdisjoint(other):  # without a common label there is no cell
+                    parts += aligned_columns(a, b, each, method, w)
+            if len(parts) > 4 * k + each * len(right):
+                parts = _best(parts, k)
+        found[node.number] = _best(parts, k)
+    out = []
+    for module, (score, c, running) in enumerate(found[tree.number][:n], 1):
+        for col in range(len(c.label)):
+            motif, strand = keys[c.label[col]]
+            delta = running[col] - (running[col - 1] if col else 0.0)
+            for i, seq in enumerate(c.names):
+                out.append((module, col, seq, motif, strand, int(c.begin[col, i]), int(c.end[col, i]), float(c.weight[col, i]), float(running[col]), float(delta), score))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in schemas.COLUMNS.split(", ")])
+
+
+def align_tree_groups(sites: DataFrame, groups: DataFrame, tree: Node, n: int = 3, method: str = "pairs", k: int = 100, weights: Weights = Weights()) -> DataFrame:
+    """group and columns of the n best modules at the root, for many groups of few sequences: a task works a group's whole tree.
+
+    groups: group, seq, nth; the leaves' names are the sequences' places (nth) in their group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = {str(i): s for i, s in pdf[["nth", "seq"]].drop_duplicates().itertuples(index=False)}
+        out = tree_frame(pdf, tree, names, n, method, k, weights)
+        out.insert(0, "group", pdf["group"].iloc[0])
+        return out
+
+    own = sites.select("seq", "motif", "begin", "end", "score", "strand").join(groups, "seq")
+    tasks = max(64, int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
+    return own.repartition(tasks, "group").groupBy("group").applyInPandas(run, f"group string, {schemas.COLUMNS}")
+
+
 def _columns(rows: DataFrame, names: list[dict]) -> DataFrame:
     """The alignments of a node as columns, modules by rank."""
     ranked = rows.withColumn("module", F.row_number().over(Window.orderBy(F.desc("score"), "alignment")))  # k rows

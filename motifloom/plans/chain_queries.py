@@ -12,7 +12,7 @@ from ..storage import stored
 from . import inputs as I
 from .site_queries import next_cells
 
-#: The tree whose sequences align_tree asks for.
+#: The tree of every five sequences in a row, by their places.
 TREE = "(((0,1),2),(3,4));"
 
 
@@ -59,9 +59,8 @@ def near_pairs_of(sites, pairs, triples):
 
 
 def _tree(spark, sf_dir, method: str):
-    names = [str(i) for i in range(5)]
-    own = stored(I.sites(spark, sf_dir).where(F.col("seq").isin(names)), "tree-sites")
-    return tree.align_tree_root(spark, own, parse_newick(TREE, set(names)), 3, method=method, k=40)
+    names = {str(i) for i in range(5)}
+    return tree.align_tree_groups(I.sites(spark, sf_dir), _groups(spark, sf_dir, 5), parse_newick(TREE, names), 3, method=method)
 
 
 def align_tree_pairs(spark, sf_dir):

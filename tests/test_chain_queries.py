@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 
 from motifloom.functions.penalty import Weights
-from motifloom.operators import chain
+from motifloom.operators import chain, tree
 from motifloom.plans import chain_queries as Q, inputs as I
+from motifloom.sources.trees import parse_newick
 from test_chain import brute_best
 
 SEQUENCES = 6
@@ -90,3 +91,15 @@ def test_near_pairs_of_every_triple(spark, sf_dir, sites):
         own = got[got.group == str(x)]
         key = lambda d: sorted(zip(d.col, d.seq, d.begin, d.end, d.motif))
         assert key(own) == key(want) and math.isclose(own.module_score.iloc[0], want.module_score.iloc[0])
+
+
+@pytest.mark.parametrize("method", ["pairs", "representative"])
+def test_every_five_in_a_row_have_a_tree(spark, sf_dir, sites, method):
+    got = getattr(Q, f"align_tree_{method}")(spark, sf_dir).toPandas()
+    assert set(got.group) == {str(x) for x in range(SEQUENCES - 4)} and set(got.seq) == {str(x) for x in range(SEQUENCES)}
+    names = {str(x + 1) for x in range(5)}
+    root = parse_newick("(((1,2),3),(4,5));", names)
+    want = tree.align_tree_root(spark, spark.createDataFrame(sites[sites.seq.isin(names)]), root, 3, method=method).toPandas()
+    scores = lambda d: d.groupby("module").module_score.first().round(6).tolist()
+    own = got[got.group == "1"]
+    assert scores(own) == scores(want) and len(own) == len(want)
