@@ -93,3 +93,53 @@ def test_redaction(spark):
     got = {r["doc_id"]: r for r in S.redact(docs).collect()}
     assert got[1]["n_chars"] == len(got[1]["text"]) and got[2]["text"] is None and (got[3]["text"], got[3]["n_chars"]) == ("ok", 99)
     assert S.redact(docs).columns == docs.columns
+
+
+OID = b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d"
+ENCRYPTED = der(0x30, der(0x30, der(6, OID), der(0x30, der(4, b"saltsalt"))), der(4, b"e" * 96))
+DSA = der(0x30, der(2, b"\0"), *(der(2, b"\5" * n) for n in (128, 20, 128, 128, 20)))
+lines = lambda s, n, end="\n": end.join(s[i : i + n] for i in range(0, len(s), n))
+
+
+def pem(label, body, head=""):
+    return f"-----BEGIN {label}-----\n{head}{lines(body, 64)}\n-----END {label}-----"
+
+
+def masked(before, key, after, kind):
+    """Whether exactly the key is found."""
+    text = before + key + after
+    assert S.confirmed_spans(text) == [(len(before), S.KINDS.index(kind), len(before) + len(key))], (before, after)
+
+
+def test_keys_beside_other_letters():
+    for key, kind in ((RSA, "der"), (PKCS8, "der"), (EC, "der"), (DSA, "der"), (ENCRYPTED, "der"), (SSH, "openssh")):
+        for before, after in (("see id_rsa/", " here"), ('{"key": "\\n', '\\n"}'), ("xyz", ""), ("é M", "\n\nword")):
+            masked(before, b64(key), after, kind)
+    masked("a ", RSA.hex(), "", "der")
+    masked("a 1234", RSA.hex(), "77", "der")
+
+
+def test_wrapped_bodies_without_markers():
+    for key, kind in ((RSA, "der"), (ENCRYPTED, "der"), (SSH, "openssh")):
+        for wide in (64, 76):
+            for end in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n"):
+                masked("key:\n", lines(b64(key), wide, end), "\nend of it", kind)
+
+
+def test_base64_of_a_pem_block():
+    for inner, kind in ((pem("RSA PRIVATE KEY", b64(RSA)), "der"), (pem("OPENSSH PRIVATE KEY", b64(SSH)) + "\n", "openssh")):
+        masked("tls.key: ", b64(inner.encode()), "\nnext: 1", kind)
+        masked("tls.key:\n  ", lines(b64(inner.encode()), 76, "\n  "), "\n", kind)
+        for ahead in ("\n", "ab", "abc: 1\n"):
+            (a, k, b), = S.confirmed_spans("x " + b64((ahead + inner).encode()) + " y")
+            assert S.KINDS[k] == kind and a <= 2 + 4 * (len(ahead) // 3) + 3 and b == 2 + len(b64((ahead + inner).encode()))
+
+
+def test_enciphered_and_dsa_keys():
+    assert S.is_der_private_key(ENCRYPTED) and S.is_der_private_key(DSA)
+    assert not S.is_der_private_key(der(0x30, der(0x30, der(6, b"\x2b\x0e\x03"), der(5)), der(4, b"d" * 20)))  # a digest
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    for block in (pem("RSA PRIVATE KEY", b64(b"\xfe" * 608), head), pem("ENCRYPTED PRIVATE KEY", b64(ENCRYPTED)), pem("DSA PRIVATE KEY", b64(DSA))):
+        masked("x ", block, " y", "der")
+        masked("x ", block.replace("\n", "\\n"), " y", "der")
+    assert kinds(pem("RSA PRIVATE KEY", b64(b"\xfe" * 608))) == [] and kinds(pem("RSA PRIVATE KEY", b64(b"\xfe" * 607), head)) == []
