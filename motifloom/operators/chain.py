@@ -15,7 +15,8 @@ Of equal scores the first cell in order of begin, end, motif, strand stands.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations, product
 
@@ -323,6 +324,43 @@ def align_short(sites: DataFrame, names: list[str], gap_limit: int = 0, n: int =
     return align(sites, names, n, weights, bonus="chain", gap_limit=gap_limit)
 
 
+def cells_of_groups(grouped: DataFrame, by: list[str]) -> DataFrame:
+    """by and packed: the cells of each group, and the steps between them, for best_scores. grouped: by, nth and sites."""
+    kinds = ", ".join(f"{c} string" for c in by)
+    tasks = max(64, int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        labels = {k: i for i, k in enumerate(sorted(set(zip(pdf["motif"], pdf["strand"], strict=True))))}
+        cells = cells_of([_listed(own, labels) for _, own in pdf.groupby("nth")])
+        first, source, _ = step_lists(cells, Weights())
+        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in by} | {"packed": [pickle.dumps((cells, first, source))]})
+
+    return grouped.repartition(tasks, *by).groupBy(*by).applyInPandas(run, f"{kinds}, packed binary")
+
+
+def best_scores(packed: DataFrame, weights: Weights) -> DataFrame:
+    """packed's groups with the score of the best module (0 without any)."""
+    by = [c for c in packed.columns if c != "packed"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf[by].copy()
+            out["score"] = [_best_score(*pickle.loads(x), weights) for x in pdf["packed"]]
+            yield out
+
+    return packed.mapInPandas(run, ", ".join(f"{c} string" for c in by) + ", score double")
+
+
+def _best_score(cells: Cells, first: np.ndarray, source: np.ndarray, w: Weights) -> float:
+    n, d = cells.begin.shape
+    if not n:
+        return 0.0
+    target = np.repeat(np.arange(n), np.diff(first))
+    cost = step_costs(cells.begin[target] - cells.end[source] - 1, w, "pairs", None)
+    base = w.lam * (d * (d - 1) / 2) * cells.weight.sum(axis=1)
+    return max(0.0, float(Chains(cells, base, first, source, cost).score.max()))
+
+
 def align_near_pairs(sites: DataFrame, modules: DataFrame, names: list[str], gap_limit: int = 0, n: int = 1, buffer: int = 1000, weights: Weights = Weights()) -> DataFrame:
     """align_short on the sites within buffer of a pairwise module. modules: seq, begin, end."""
     return align_groups_near_pairs(sites, modules.withColumn("group", F.lit("all")), groups_of(sites, names), gap_limit, n, buffer, weights).drop("group")

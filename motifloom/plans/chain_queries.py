@@ -132,18 +132,24 @@ def pairwise_base(spark, sf_dir):
 
 
 def parameter_search(spark, sf_dir):
-    """Weights under which the first pair's best module stands out most from that of the randomised sites."""
+    """Weights under which the best modules of all sequences with the next stand out most from those of the randomised sites."""
+    w, got = stats.climb(pair_contrast(I.sites(spark, sf_dir), _groups(spark, sf_dir, 2)))
+    return spark.createDataFrame([(w.lam, w.mu, w.nu, w.xi, got)], "lam double, mu double, nu double, xi double, value double")
+
+
+def pair_contrast(sites, groups):
+    """The value of weights: the pairs' best scores over those of their randomised sites, each summed; one job a value."""
     from ..operators.sites import randomised
 
-    own = stored(I.sites(spark, sf_dir).where("seq in ('0', '1')"), "search")
-    mixed = stored(randomised(own, 3), "search")
+    own = stored(sites, "search")
+    side = lambda t, name: t.join(groups, "seq").withColumn("side", F.lit(name))
+    both = stored(chain.cells_of_groups(side(own, "own").unionByName(side(randomised(own, 3), "mixed")), ["side", "group"]), "search-cells")
 
     def value(w: Weights) -> float:
-        best = [chain.align(s, ["0", "1"], 1, w).agg(F.max("module_score")).first()[0] or 0.0 for s in (own, mixed)]
-        return best[0] / (best[1] + 1)
+        sums = {r["side"]: r["score"] for r in chain.best_scores(both, w).groupBy("side").agg(F.sum("score").alias("score")).collect()}
+        return sums.get("own", 0.0) / (sums.get("mixed", 0.0) + 1)
 
-    w, got = stats.climb(value, rounds=3)
-    return spark.createDataFrame([(w.lam, w.mu, w.nu, w.xi, got)], "lam double, mu double, nu double, xi double, value double")
+    return value
 
 
 QUERIES = {f.__name__: f for f in (align_pairs, align_triples, align_triples_gapped, align_next_best, align_down_to, align_near_pairs, align_tree_pairs, align_tree_general, align_tree_representative, merge_modules, module_overlaps, contained_modules, score_terms, module_gff, module_anchors, module_text, pairwise_base, parameter_search)}

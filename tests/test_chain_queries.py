@@ -103,3 +103,19 @@ def test_every_five_in_a_row_have_a_tree(spark, sf_dir, sites, method):
     scores = lambda d: d.groupby("module").module_score.first().round(6).tolist()
     own = got[got.group == "1"]
     assert scores(own) == scores(want) and len(own) == len(want)
+
+
+def test_search_values_weights_on_all_pairs(spark, sf_dir, monkeypatch):
+    from motifloom.operators import sites as S, stats
+
+    own = I.sites(spark, sf_dir)
+    w = Weights(1.5, 0.7, 0.4, 1.2)
+    total = []
+    for table in (own.toPandas(), S.randomised(own, 3).toPandas()):
+        each = [brute_best(table[table.seq.isin(names)], names, w)[0] for names in ([str(x), str(x + 1)] for x in range(SEQUENCES - 1))]
+        total.append(sum(each))
+    value = Q.pair_contrast(own, Q._groups(spark, sf_dir, 2))
+    assert math.isclose(value(w), total[0] / (total[1] + 1), rel_tol=1e-9)
+    asked = []
+    monkeypatch.setattr(stats, "climb", lambda *a, **how: asked.append(how) or (w, 1.0))
+    assert Q.parameter_search(spark, sf_dir).count() == 1 and asked == [{}]  # the operator's own rounds
