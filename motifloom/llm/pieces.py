@@ -278,11 +278,15 @@ def encode_block(p: Pieces, raw: np.ndarray, offsets: np.ndarray, key: np.ndarra
     whole = ids[np.repeat(starts[back], each) + _flat(each)]
     counts = np.bincount(text, weights=each, minlength=len(counts)).astype(np.int64)
     decoded, sizes = decode_block(p, whole, counts)
-    same = sizes == np.diff(own)
-    if same.all():
-        wrong = np.r_[0, np.cumsum(decoded != out)]
-        same = wrong[own[1:]] == wrong[own[:-1]]
-    return whole, counts, same
+    return whole, counts, _same(out, own, decoded, sizes)
+
+
+def _same(out: np.ndarray, own: np.ndarray, decoded: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each text of out (offsets own) is that of decoded: the size, and then every byte."""
+    fits = sizes == np.diff(own)
+    differ = decoded[np.repeat(fits, sizes)] != out[np.repeat(fits, np.diff(own))]
+    wrong, at = np.r_[0, np.cumsum(differ)], np.r_[0, np.cumsum(np.where(fits, sizes, 0))]
+    return fits & (wrong[at[1:]] == wrong[at[:-1]])
 
 
 def decode_block(p: Pieces, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

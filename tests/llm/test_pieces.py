@@ -70,3 +70,9 @@ def test_table_round_trip(spark):
     assert len(back) == len(TEXTS) + 2 and all(r["text"] == want[r["doc_id"]] for r in back)
     assert next(r for r in back if r["text"] is None)["ids"] is None
     assert pieces.encode(docs.where("false"), PATH).count() == 0
+
+
+def test_a_text_of_another_size_hides_no_wrong_byte():
+    block = lambda *texts: (np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))
+    (out, n), (decoded, sizes) = block(b" abc", b" de", b"", b" fgh", b" i"), block(b" abX", b" d", b"", b" fgh", b" j")
+    assert pieces._same(out, np.r_[0, np.cumsum(n)], decoded, sizes).tolist() == [False, False, True, True, False]
