@@ -8,9 +8,10 @@ levels, and gives them their counts; that table, `table_size` entries at most, i
 broadcast. The second pass looks every pre-token up there, then in the worker's
 cache, and encodes only what is in neither, one batch a block.
 
-The library counts a text whole if its pre-tokens can't be told apart safely:
-texts holding an added token's string, or characters whose class (letter, number,
-space) may depend on the Unicode version or the regular-expression library.
+Texts with characters whose class (letter, number, space) may depend on the
+Unicode version or the regular-expression library are split by the library's own
+pre-tokenizer and looked up like the others. Only texts that hold an added token's
+string are counted whole by the library.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens.
 """
@@ -75,7 +76,18 @@ def _safe(text: str, added: tuple[str, ...]) -> bool:
     return not _UNSAFE.search(text) and not any(a in text for a in added)
 
 
-def _frequent(capacity: int):
+def _pretokens(path: str, text: str) -> list[str] | None:
+    """The pre-tokens of text; None if it must be counted whole."""
+    added = _added(path)
+    if _safe(text, added):
+        return _SPLIT.findall(text)
+    if any(a in text for a in added):
+        return None
+    parts = [text[a:b] for _, (a, b) in _tokenizer(path).pre_tokenizer.pre_tokenize_str(text)]
+    return parts if "".join(parts) == text else None
+
+
+def _frequent(capacity: int, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
@@ -83,7 +95,7 @@ def _frequent(capacity: int):
             for block in _blocks(texts):
                 for i in block:
                     if texts[i]:
-                        seen.update(_SPLIT.findall(texts[i]))
+                        seen.update(_SPLIT.findall(texts[i]) if path is None else _pretokens(path, texts[i]) or [])
                 if len(seen) > 8 * capacity:
                     seen = Counter(dict(seen.most_common(4 * capacity)))
         from pyspark import TaskContext
@@ -104,9 +116,9 @@ def _merged(blobs, capacity: int) -> list[tuple[str, int]]:
     return total.most_common(capacity)
 
 
-def frequent_pretokens(docs: DataFrame, size: int, fan_in: int = 16) -> list[str]:
-    """About the `size` most frequent pre-tokens of all texts, from bounded summaries of the tasks."""
-    tops = docs.mapInArrow(_frequent(size), "part int, top binary")
+def frequent_pretokens(docs: DataFrame, size: int, fan_in: int = 16, path: str | None = None) -> list[str]:
+    """About the `size` most frequent pre-tokens of all texts, from bounded summaries of the tasks. path: the tokenizer, for texts that only it can split."""
+    tops = docs.mapInArrow(_frequent(size, path), "part int, top binary")
     parts = docs.rdd.getNumPartitions()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -123,16 +135,15 @@ def _count(path: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = shared.value
         cache = _caches.setdefault(path, {})
-        added = _added(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = np.zeros(len(texts), np.int64)
             n_bytes = np.array([len(t.encode()) if t else 0 for t in texts], np.int64)
             for block in _blocks(texts):
-                whole = [i for i in block if texts[i] and not _safe(texts[i], added)]
+                parts = [(i, _pretokens(path, texts[i])) for i in block if texts[i]]
+                whole = [i for i, s in parts if s is None]
                 counts[whole] = _lengths(path, [texts[i] for i in whole]) if whole else 0
-                apart = set(whole)
-                split = [(i, _SPLIT.findall(texts[i])) for i in block if texts[i] and i not in apart]
+                split = [(i, s) for i, s in parts if s is not None]
                 distinct = set().union(*(s for _, s in split))
                 missing = [t for t in distinct if t not in known and t not in cache]
                 own = dict(zip(missing, _lengths(path, missing), strict=True))
@@ -151,7 +162,7 @@ def count_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
     """doc_id, n_bytes and n_tokens of each row. path: a byte-level BPE in the tokenizers library's JSON."""
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    frequent = frequent_pretokens(source.select("text"), table_size)
+    frequent = frequent_pretokens(source.select("text"), table_size, path=path)
     table = spark.sparkContext.broadcast(dict(zip(frequent, _lengths(path, frequent), strict=True)) if frequent else {})
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(_count(path, table), f"doc_id {kind}, n_bytes long, n_tokens long")

@@ -1,4 +1,7 @@
+from types import SimpleNamespace
+
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,3 +46,19 @@ def test_frequent_come_first(spark):
     docs = spark.createDataFrame([(i, "common words here " + f"rare{i}") for i in range(50)], "doc_id long, text string").repartition(9)
     top = K.frequent_pretokens(docs.select("text"), 4, fan_in=2)
     assert set(top) >= {"common", " words", " here"}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'as1λж日\u3000ـ€😀\u0301"), st.characters(exclude_categories=["Cs"])), max_size=40))
+def test_texts_of_all_scripts_are_split(text):
+    parts = K._pretokens(PATH, text)
+    assert parts is not None and "".join(parts) == text
+    assert sum(K._lengths(PATH, parts)) == count(text)
+
+
+def test_other_scripts_are_looked_up():
+    texts = ["λόγος λόγος", "слово €", "x<|endoftext|>λόγος"]
+    table = SimpleNamespace(value={"λόγος": 100, " λόγος": 1000, "слово": 10_000})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1, 2], "text": texts})
+    (got,) = K._count(PATH, table)([batch])
+    assert got.column("n_tokens").to_pylist() == [1100, 10_000 + count(" €"), count(texts[2])]
