@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the lowest id, of each group alike in 0.8 of their five-word shingles."""
-    return near.drop_near_duplicates(docs, near.Settings(words=5))
+    return near.drop_near_duplicates(docs, near.Settings(words=5), by_row=True)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

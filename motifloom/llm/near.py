@@ -357,12 +357,23 @@ def _all_links(sketches: DataFrame, docs: DataFrame, kind: T.DataType, s: Settin
         budget *= 4
 
 
-def drop_near_duplicates(docs: DataFrame, s: Settings = Settings(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose component has a lower id."""
-    found = near_components(docs, s, doc_id=doc_id, text=text)
-    gone = saved(found.where("id != component").select("id").distinct(), "near-gone")
-    gone = _small(gone.withColumnRenamed("id", "gone_"), s.broadcast_ids)
-    return docs.alias("d").join(gone.alias("g"), F.col(f"d.`{doc_id}`") == F.col("g.gone_"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, s: Settings = Settings(), *, doc_id: str = "doc_id", text: str = "text", by_row: bool = False) -> DataFrame:
+    """docs without the rows whose component has a lower id; rows of a null id, and rows that repeat a kept id, stay.
+
+    by_row: one row of each group of alike rows, that of the lowest id, a null one only if no other has any; rows
+    without shingles all stay. Rows are told apart by a number of their own, so ids may be null or repeat.
+    """
+    if not by_row:
+        found = near_components(docs, s, doc_id=doc_id, text=text)
+        gone = saved(found.where("id != component").select("id").distinct(), "near-gone")
+        gone = _small(gone.withColumnRenamed("id", "gone_"), s.broadcast_ids)
+        return docs.alias("d").join(gone.alias("g"), F.col(f"d.`{doc_id}`") == F.col("g.gone_"), "left_anti")
+    rows = saved(docs.withColumn("near_row_", F.monotonically_increasing_id()), "near-rows")
+    found = near_components(rows, s, doc_id="near_row_", text=text).select(F.col("id").alias("near_row_"), "component")
+    ids = rows.select("near_row_", F.col(f"`{doc_id}`").alias("own_"))
+    first = F.min(F.struct(F.col("own_").isNull().alias("none_"), "own_", "near_row_"))
+    kept = saved(found.join(ids, "near_row_").groupBy("component").agg(first.alias("first_")).select("first_.near_row_"), "near-kept")
+    return rows.join(kept, "near_row_", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

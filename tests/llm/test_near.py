@@ -87,3 +87,15 @@ def test_long_chains_of_links(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["id"]: r["component"] for r in near.near_components(docs, near.Settings(words=2)).collect()}
     assert got == brute(rows, 2) and len(set(got.values())) < 5
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    like, other, third = text + " more", " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    rows = [(5, text, "a"), (5, text, "b"), (None, text, "c"), (7, like, "d"), (None, other, "e"), (None, other, "f"), (9, third, "g"), (9, third + " z", "h"), (5, "q " + other, "i"), (None, None, "j"), (None, "", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string").repartition(3)
+    got = near.drop_near_duplicates(docs, near.Settings(words=2), by_row=True)
+    assert got.columns == docs.columns
+    kept = [(r["doc_id"], r["name"]) for r in got.collect()]
+    assert sorted(i for i, n in kept if n in "gh") == [9] and sorted(i for i, n in kept if n in "abcd") == [5]
+    assert [n for _, n in kept if n in "efi"] == ["i"] and sorted(n for _, n in kept if n in "jk") == ["j", "k"] and len(kept) == 5
