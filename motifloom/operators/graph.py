@@ -7,21 +7,34 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component (its lowest id). Contracts the graph: every id takes its lowest neighbour's place, until no edge is left."""
+    """id, component (its lowest id) of every id on an edge (a, b) between two ids.
+
+    Contracts the graph: each id points at its lowest neighbour or itself, pointers are followed to their ends by
+    doubling, and every tree of pointers becomes one id, its lowest, until no edge is left. A path of n ids in order
+    takes one contraction and log2(n) doublings. Nothing is collected.
+    """
     edges = stored(edges.select("a", "b").where("a != b").distinct(), "edges")
-    labels = stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")), "labels")
+    labels = stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("component")), "labels")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = stored(both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("low")).select("x", F.least("x", "low").alias("up")), "up")
-        up = stored(up.join(up.select(F.col("x").alias("up"), F.col("up").alias("top")), "up").select("x", F.col("top").alias("up")), "up")
+        moved = True
+        while moved:
+            ends = up.select(F.col("x").alias("up"), F.col("up").alias("top"))
+            near, up = up, stored(up.select("x", "up").join(ends, "up").select("x", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")), "up")
+            moved = not up.where("moved").isEmpty()
+            discard(near)
+        old, up = (labels, edges, up), up.select("x", "up")
         labels = stored(labels.join(up, F.col("component") == F.col("x"), "left").select("id", F.coalesce("up", "component").alias("component")), "labels")
         for end in ("a", "b"):
             edges = edges.join(up.withColumnRenamed("x", end), end).withColumn(end, F.col("up")).drop("up")
         edges = stored(edges.where("a != b").distinct(), "edges")
+        discard(*old)
+    discard(edges)
     return labels
 
 

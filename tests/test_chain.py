@@ -203,6 +203,20 @@ def test_bad_trees(bad):
         parse_newick(bad, {"a", "b", "c"})
 
 
+@pytest.mark.parametrize("order", ["ascending", "descending", "shuffled"])
+def test_components_of_long_paths(spark, monkeypatch, order):
+    ids = list(range(2000))
+    if order == "descending":
+        ids.reverse()
+    elif order == "shuffled":
+        np.random.default_rng(5).shuffle(ids)
+    written = []
+    monkeypatch.setattr(graph, "stored", lambda df, name, own=graph.stored: (written.append(name), own(df, name))[1])
+    got = graph.components(spark.createDataFrame([(int(a), int(b)) for a, b in zip(ids, ids[1:])], "a long, b long").coalesce(2)).collect()
+    assert len(got) == 2000 and {r["component"] for r in got} == {0}
+    assert written.count("edges") <= 10 and written.count("up") <= 40
+
+
 def test_components_and_closure(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (50, 2))]
