@@ -1,29 +1,38 @@
 """Near duplicates by bottom-k sketches from one hash function.
 
 A text's set is that of its distinct word shingles, as 64-bit hashes; equal sets
-form a class with its lowest id as representative. A representative's sketch is
-the k lowest hashes of its set. Of two sets as alike as `threshold`, the sketches
-share `_shared_least` values or more (for sets that fit into a sketch that is
-certain, for others the chance of fewer is below 1e-9), so in any one order of
-all values they share one among the first few of each. Those first few, frequent
-values last, go into inverted lists. The order only shortens the lists.
-
-Each list links its members to its most listed member (its hub), not all to all.
-A pair whose signatures (four bits of the lowest hash in each of 32 ranges) agree
-too seldom is let go; others are estimated from the union of their sketches, and
-decided by it where
-both sets fit into their sketches; others that the estimate doesn't rule out (six
-standard deviations below the threshold) are decided by their whole sets. Then
-every list whose members are still in several components goes on: members outside
-its main component are taken as further hubs against all others, a few at first
-and more in every round, until no pair of a list is both undecided and between
-components. So no link is lost, and a list costs its length times the number of
-its members that stay outside its main component.
+(two 64-bit sums over the whole set, and its size) form a class with its lowest
+id as representative. A representative's sketch is the k lowest hashes of its
+set. Of two sets as alike as `threshold`, the sketches share `_shared_least`
+values or more, so in any one order of all values they share one among the first
+few of each. Those first few, values of many texts last, go into inverted lists.
+Pairs of a list are estimated from the union of their sketches, and decided by it
+where both sets fit into their sketches; others that the estimate doesn't rule
+out are decided by their whole sets. Three rounds form the pairs:
+
+1. each list's most listed member (its hub) with all others of the list;
+2. in lists that still have several components, all pairs if they are `few`, else
+   the list's members outside its main component with `pivots` of that component;
+3. the texts of lists that still have several components get whole sets for
+   sketches, rarest values first; places in those bound what two sets can share,
+   so only pairs that can be linked are formed, and all of those are decided.
+
+So no link between components is lost, and no list forms all its pairs.
+
+What is left to chance, and how to take it away: two sketches of sets that don't
+fit into them share less than `_shared_least` with a chance below 1e-9 a pair, and
+lie `sigmas` standard deviations below their estimate with one below 1e-9 too. A
+k no smaller than every set (EXACT) makes every sketch the whole set, and with it
+the lists complete and each estimate exact.
 
 Edge cases: a text of fewer words than a shingle has its whole sequence as one
-shingle; one without words, or null, is linked with nothing; rows that repeat an
-id are one document; a null id has no component of its own and is kept if no
-other row has its set; an empty table gives no rows.
+shingle; one without words, or null, is linked with nothing, however many there
+are; texts of any length are taken whole; equal texts are one class, ties go to
+the lower id; where several rows have an id, each row has the component of its own
+text, and classes with the same lowest id are one; a null id is never a component
+and belongs to that of its set's other ids, if any; an empty table gives no rows;
+other columns are not read, and pass through drop_near_duplicates whatever their
+names.
 """
 
 from __future__ import annotations
@@ -39,13 +48,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
+from ..storage import discard, release
+from ..storage import stored as saved
 from . import words as W
-from .shared import discard, saved
+from .shared import free_name
 
 U64 = np.uint64
-_BINS = 32
-#: Of two sets alike in 0.8 each range agrees with a probability of 0.8 at least, so fewer agree with one below 1e-8.
-_AGREE = 10
 
 
 @dataclass(frozen=True)
@@ -53,12 +62,14 @@ class Settings:
     words: int = 5  # in a shingle
     threshold: int = 80  # per cent
     k: int = 64  # values in a sketch
-    frequent: int = 50_000  # values whose counts set the order
-    budget: int = 16_384  # pairs that a list forms in the second round, at most; four times as many in each later one
-    batch_rows: int = 1000  # rows that a Python worker gets at a time
-    broadcast_ids: int = 2_000_000  # ids that a join may send to all tasks
-    broadcast_hubs: int = 20_000
-    broadcast_bytes: int = 32_000_000  # of hubs' texts
+    sigmas: float = 6.0  # below the threshold from where an estimate rules a pair out
+    few: int = 8  # members of a list that forms all pairs
+    pivots: int = 16  # of a component, for the members of longer lists
+    chunk: int = 1000  # partners that a text meets in one task
+    broadcast_bytes: int = 16_000_000  # that a join may send to all tasks
+
+
+EXACT = Settings(k=1 << 40)
 
 
 def shingles(block: W.Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,28 +100,6 @@ def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def _signatures(row: np.ndarray, g: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Four bits of the lowest hash of each of _BINS ranges of hashes, as two longs a row; none for an empty range."""
-    bins = (g >> U64(59)).astype(np.int64)
-    first = np.ones(len(g), bool)
-    first[1:] = (row[1:] != row[:-1]) | (bins[1:] != bins[:-1])
-    table = np.zeros((rows, _BINS), U64)
-    table[row[first], bins[first]] = (W.mix(g[first]) & U64(15)) << (bins[first] % 16 * 4).astype(U64)
-    halves = table.reshape(rows, 2, 16).sum(axis=2, dtype=U64).view(np.int64)
-    return halves[:, 0], halves[:, 1]
-
-
-def _may_be_alike(a: str, b: str):
-    """Whether the signatures of two rows agree in _AGREE ranges at least. a, b: prefixes of their columns' names."""
-    differing = F.lit(0)
-    for name in ("s1", "s2"):
-        x = F.col(a + name).bitwiseXOR(F.col(b + name))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
-        differing = differing + F.bit_count(x)
-    return differing <= _BINS - _AGREE
-
-
 def _sketch(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,23 +113,25 @@ def _sketch(s: Settings):
                     np.cumsum(W.mix(g ^ U64(salt)), out=total[1:])
                     sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
                 low = np.arange(len(g)) - bounds[row] < s.k
-                columns = [batch.column("id").slice(b.first, b.rows), pa.array(n), *(pa.array(x) for x in sums), *(pa.array(x) for x in _signatures(row, g, b.rows)), _binary(g[low], np.minimum(n, s.k))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "s1", "s2", "sketch"])
+                columns = [batch.column("id").slice(b.first, b.rows), pa.array(n), *(pa.array(x) for x in sums), _binary(g[low], np.minimum(n, s.k))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "sketch"])
 
     return run
 
 
-def _flat_sketches(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _flat_sketches(batch: pa.RecordBatch, name: str = "sketch") -> tuple[np.ndarray, np.ndarray]:
     """All sketches' values one after the other, and their numbers."""
-    column = batch.column("sketch")
+    column = batch.column(name)
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(U64) if data is not None and at[-1] > at[0] else np.zeros(0, U64), np.diff(at) // 8
 
 
 def _shared_least(s: Settings) -> int:
-    """Values that two sketches share at least, at the threshold and but for a chance below 1e-9."""
+    """Values that two full sketches share at least, at the threshold and but for a chance below 1e-9."""
     p = s.threshold / 100
+    if s.k > 1000:  # where the normal distribution is close; one standard deviation more makes up for the rest
+        return max(int(s.k * p - 7 * math.sqrt(s.k * p * (1 - p))), 1)
     term, below = (1 - p) ** s.k, 0.0
     for i in range(s.k + 1):
         below += term
@@ -150,136 +141,148 @@ def _shared_least(s: Settings) -> int:
     return s.k
 
 
-def _prefixes(s: Settings, frequent: np.ndarray, counts: np.ndarray):
+def _rows(values: np.ndarray, row: np.ndarray, ids: pa.Array, n: np.ndarray, late: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (value, id, n, late) in short batches. row: of each value, in ids, n and late."""
+    for at in range(0, len(values), 65_536):
+        r = row[at : at + 65_536]
+        yield pa.RecordBatch.from_arrays([pa.array(values[at : at + 65_536].view(np.int64)), ids.take(pa.array(r)), pa.array(n[r]), pa.array(late[r])], ["value", "id", "n", "late"])
+
+
+def _rows_schema(kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("value", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("late", T.LongType())])
+
+
+def _sketch_values(s: Settings):
+    """The values of sketches. late: of a sketch's values in any one order of all, whoever is alike shares one that at least so many come after."""
     least = _shared_least(s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = np.asarray(batch.column("n"))
+            n = np.asarray(batch.column("n")).astype(np.int64)
             values, sizes = _flat_sketches(batch)
-            if not len(values):
-                continue
-            row = np.repeat(np.arange(len(n)), sizes)
-            often = np.zeros(len(values), np.int64)
-            if len(frequent):
-                place = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
-                often = np.where(frequent[place] == values, counts[place], 0)
-            order = np.lexsort((values, often, row))
             certain = n * 100 <= s.k * s.threshold  # whoever is alike fits into a sketch too
-            take = np.where(certain, n - -(-n * s.threshold // 100) + 1, sizes - least + 1)
-            take = np.where(n * (100 - s.threshold) < s.threshold, 0, take)  # too few to have an alike but unequal set
-            nth = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = order[nth < np.repeat(take, sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array(values[at].view(np.int64)), batch.column("id").take(pa.array(row[at])), pa.array(n[row[at]])], ["value", "id", "n"])
+            late = np.where(certain, -(-n * s.threshold // 100) - 1, least - 1)
+            late = np.where(n * (100 - s.threshold) < s.threshold, n, late)  # too few to have an alike but unequal set
+            yield from _rows(values, np.repeat(np.arange(len(n)), sizes), batch.column("id"), n, late)
 
     return run
 
 
-def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        values, _ = _flat_sketches(batch)
-        held.append(W.summed(values))
-        if len(held) > 16:
-            held = [W.summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-    if held:
-        values, counts = W.summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-        keep = counts > 3
-        yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], ["value", "c"])
+def _whole_sets(s: Settings):
+    """The values of whole sets; late as in _sketch_values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in W.blocks(batch.column("text"), lower=True):
+                row, g = shingles(block, s.words)
+                n = np.bincount(row, minlength=block.rows)
+                yield from _rows(g, row, batch.column("id").slice(block.first, block.rows), n, -(-n * s.threshold // 100) - 1)
+
+    return run
+
+
+def _listed(flat: DataFrame) -> DataFrame:
+    """value, id, n, c, back of those values of flat (value, id, n, late) that several ids have and that are early in their id's order.
+
+    The order is by c, the number of ids that have a value; back: how many values of the id come after, `late` or more.
+    """
+    counts = flat.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    last_first = Window.partitionBy("id").orderBy(F.desc("c"), F.desc("value"))
+    shared = flat.join(counts, "value").withColumn("back", F.row_number().over(last_first).cast("long") - 1)
+    return shared.where("back >= late").select("value", "id", "n", "c", "back")
 
 
 def _estimated(s: Settings):
     """Adds 1 to the pairs that their sketches show linked, 2 to those left open; the others go."""
-    floor = s.threshold / 100 - 6 * math.sqrt(s.threshold / 100 * (1 - s.threshold / 100) / s.k)
+    p = s.threshold / 100
+    floor = p - s.sigmas * math.sqrt(p * (1 - p) / s.k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            states = []
-            for na, nb, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b")), strict=True):
-                a, b = np.frombuffer(sa, U64), np.frombuffer(sb, U64)
-                both = np.intersect1d(a, b, assume_unique=True)
-                if na <= s.k and nb <= s.k:
-                    states.append(int(100 * len(both) >= s.threshold * (na + nb - len(both))))
-                    continue
-                union = np.union1d(a, b)[: s.k]
-                shared = np.searchsorted(both, union[-1], "right")
-                states.append(2 if shared >= floor * len(union) else 0)
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(states, pa.int32())], ["a", "b", "state"])
-            yield out.filter(pa.array(np.array(states, np.int64) > 0))
+            rows = len(batch)
+            n = [np.asarray(batch.column(c)) for c in ("n_a", "n_b")]
+            (va, ka), (vb, kb) = (_flat_sketches(batch, c) for c in ("sketch_a", "sketch_b"))
+            row, values = np.repeat(np.r_[np.arange(rows), np.arange(rows)], np.r_[ka, kb]), np.r_[va, vb]
+            order = np.lexsort((values, row))
+            row, values = row[order], values[order]
+            same = np.r_[False, (row[1:] == row[:-1]) & (values[1:] == values[:-1])]
+            union = ka + kb - np.bincount(row[same], minlength=rows)
+            nth = np.cumsum(~same) - np.repeat(np.cumsum(union) - union, ka + kb)  # in the pair's union, from 1
+            whole = (n[0] <= s.k) & (n[1] <= s.k)
+            size = np.where(whole, union, np.minimum(union, s.k))
+            shared = np.bincount(row[same & (nth <= size[row])], minlength=rows)
+            state = np.where(whole, 100 * shared >= s.threshold * union, 2 * (shared >= floor * size)).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(state)], ["a", "b", "state"])
+            yield out.filter(pa.array(state > 0))
 
     return run
 
 
 def _exact(s: Settings):
-    def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return shingles(next(W.blocks(texts, lower=True, block_bytes=1 << 60)), s.words)
+    """The linked pairs (a, b) of rows that come by a, each a's own text (b is null) before those of its partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hubs: list[np.ndarray] = []  # the sets of the present a: one, or several where rows repeat its id
+        of, ended = None, True
         for batch in batches:
-            a, b = batch.column("text_a"), batch.column("text_b")
-            sizes = pc.add(pc.cast(pc.binary_length(a), "int64"), pc.cast(pc.binary_length(b), "int64"))
-            part = np.cumsum(np.asarray(sizes)) // 2_000_000
-            linked = np.zeros(len(batch), bool)
-            for p in np.unique(part):
-                at = np.flatnonzero(part == p)
-                (ra, ga), (rb, gb) = (sets(x.slice(at[0], len(at))) for x in (a, b))
-                row, g = np.r_[ra, rb], np.r_[ga, gb]
-                order = np.lexsort((g, row))
-                row, g = row[order], g[order]
-                same = (row[1:] == row[:-1]) & (g[1:] == g[:-1])
-                both = np.bincount(row[1:][same], minlength=len(at))
-                union = np.bincount(row, minlength=len(at)) - both
-                linked[at] = (100 * both >= s.threshold * union) & (union > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked))
+            own = np.asarray(batch.column("b").is_null())
+            for block in W.blocks(batch.column("text"), lower=True):
+                row, g = shingles(block, s.words)
+                n = np.bincount(row, minlength=block.rows)
+                bounds = np.r_[0, np.cumsum(n)]
+                linked = np.zeros(block.rows, bool)
+                at = 0
+                for to in [*np.flatnonzero(own[block.first : block.first + block.rows]), block.rows]:
+                    found = g[bounds[at] : bounds[to]]
+                    for hub in hubs if at < to else ():
+                        hit = hub[np.minimum(np.searchsorted(hub, found), len(hub) - 1)] == found
+                        both = W.rows_sum(hit, bounds[at : to + 1] - bounds[at])
+                        linked[at:to] |= 100 * both >= s.threshold * (n[at:to] + len(hub) - both)
+                    ended |= at < to
+                    if to < block.rows:
+                        a = batch.column("a")[block.first + int(to)].as_py()
+                        if ended or a != of:
+                            hubs, of, ended = [], a, False
+                        hubs.append(g[bounds[to] : bounds[to + 1]].copy())
+                    at = to + 1
+                columns = [batch.column(c).slice(block.first, block.rows) for c in ("a", "b")]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b"]).filter(pa.array(linked))
 
     return run
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """df for a join: sent to all tasks if it has so many rows at most."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _small(df: DataFrame, s: Settings) -> DataFrame:
+    """df for a join: sent to all tasks if its rows take no more than s.broadcast_bytes there, measured."""
+    width = F.lit(16)
+    for field in df.schema.fields:
+        width += F.coalesce(F.octet_length(field.name), F.lit(0)) + 16 if isinstance(field.dataType, T.StringType | T.BinaryType) else F.lit(16)
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= s.broadcast_bytes else df
 
 
 def linked_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) that are linked. a: hubs, that many pairs may share. sketches: id, n, sketch. docs: id, text."""
+    """The pairs (a, b), distinct rows, that are linked; written. sketches: id, n, sketch. docs: id, text.
+
+    The exact step sends each text a once for `chunk` of its partners at most, before them.
+    """
     kind = sketches.schema["id"].dataType
+    pair = [T.StructField("a", kind), T.StructField("b", kind)]
     pairs = saved(pairs, "near-pairs")
-    hubs = sketches.join(_small(pairs.select(F.col("a").alias("id")).distinct(), s.broadcast_ids), "id", "left_semi")
-    hubs = saved(hubs.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "near-hubs")
-    members = sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    sized = pairs.join(members, "b").join(_small(hubs, s.broadcast_hubs), "a")
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("state", T.IntegerType())])
-    states = saved(sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_estimated(s), schema), "near-states")
+    sized = pairs
+    for end in "ab":
+        sized = sized.join(sketches.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
+    states = sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_estimated(s), T.StructType([*pair, T.StructField("state", T.IntegerType())]))
+    states = saved(states, "near-states")
+    discard(pairs)
     sure, unsure = states.where("state = 1").select("a", "b"), states.where("state = 2").select("a", "b")
-    if unsure.isEmpty():
-        return sure
-    ids = saved(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    texts = saved(docs.join(_small(ids, s.broadcast_ids), "id", "left_semi"), "near-texts")
-    hub_texts = texts.join(_small(unsure.select(F.col("a").alias("id")).distinct(), s.broadcast_ids), "id", "left_semi").select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    hub_texts = saved(hub_texts, "near-hub-texts")
-    size = hub_texts.agg(F.sum(F.octet_length("text_a"))).first()[0] or 0
-    if size <= s.broadcast_bytes:
-        hub_texts = F.broadcast(hub_texts)
-    both = unsure.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(hub_texts, "a")
-    decided = both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(s), T.StructType(schema.fields[:2]))
-    return sure.unionByName(decided)
-
-
-def components(links: DataFrame) -> DataFrame:
-    """id, component (the lowest id that it reaches) of every id in links (a, b)."""
-    links = saved(links.where("a != b").distinct(), "near-links")
-    labels = saved(links.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("component")), "near-labels")
-    while not links.isEmpty():
-        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = saved(both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("low")).select("x", F.least("x", "low").alias("up")), "near-parents")
-        above = parent.select(F.col("x").alias("up"), F.col("up").alias("top"))
-        parent = saved(parent.join(above, "up", "left").select("x", F.coalesce("top", "up").alias("up")), "near-parents")
-        labels = labels.join(parent.select(F.col("x").alias("component"), F.col("up")), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
-        labels = saved(labels, "near-labels")
-        for end in ("a", "b"):
-            links = links.join(parent.select(F.col("x").alias(end), F.col("up").alias("up")), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
-        links = saved(links.where("a != b").distinct(), "near-links")
-    return labels
+    parts = unsure.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / s.chunk).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
+    partners = unsure.join(parts, "a").select(F.col("b").alias("id"), "a", part, "b")
+    own = parts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast(kind).alias("b"))
+    wanted = saved(own.unionByName(partners), "near-wanted")
+    met = docs.join(_small(wanted, s), "id").select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    links = saved(sure.unionByName(met.select("a", "b", "text").mapInArrow(_exact(s), T.StructType(pair))), "near-linked")
+    discard(states, wanted)
+    return links
 
 
 def _alike_sizes(a: str, b: str, s: Settings):
@@ -288,73 +291,115 @@ def _alike_sizes(a: str, b: str, s: Settings):
 
 def near_components(docs: DataFrame, s: Settings = Settings(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n (set size), component (lowest id reachable) of every row of docs."""
-    docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    conf, batch = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(batch)
-    conf.set(batch, s.batch_rows)  # pairs of texts come in these batches, so they are kept short
-    try:
-        return _near_components(docs, s)
-    finally:
-        conf.set(batch, before)
-
-
-def _near_components(docs: DataFrame, s: Settings) -> DataFrame:
+    docs = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = docs.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("n", "d1", "d2", "s1", "s2")), T.StructField("sketch", T.BinaryType())])
+    key = ["n", "d1", "d2"]
+    schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in key), T.StructField("sketch", T.BinaryType())])
     every = saved(docs.mapInArrow(_sketch(s), schema), "near-sketches")
-    classes = every.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
+    classes = every.where("n > 0").groupBy(*key).agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows"))
     classes = saved(classes, "near-classes")
-    reps = classes.where("rep is not null").select(F.col("rep").alias("id"), "n", "d1", "d2")
-    sketches = saved(every.join(_small(reps, s.broadcast_ids), ["id", "n", "d1", "d2"], "left_semi").dropDuplicates(["id", "n", "d1", "d2"]).select("id", "n", "s1", "s2", "sketch"), "near-reps")
-    small = saved(every.select("id", "n", "d1", "d2"), "near-every")
+    small = saved(every.select("id", *key), "near-every")
     discard(every)
-    links = _all_links(sketches, docs, kind, s)
+    label = _components(classes.where("id is not null").select("id", "n", "sketch"), docs, small, s)
+    several = classes.join(label.withColumnRenamed("component", "low"), "id", "left").where("rows > 1 or low is not null")  # the others' component is their own id
+    several = saved(several.select(*key, F.coalesce("low", "id").alias("component")), "near-named")
+    discard(classes, label)
+    out = small.join(_small(several, s), key, "left")
+    return out.select("id", "n", F.coalesce("component", "id").alias("component"))  # sets without shingles are in no class
+
+
+def _components(sketches: DataFrame, docs: DataFrame, every: DataFrame, s: Settings) -> DataFrame:
+    """id, component of the linked ones among sketches (id, n, sketch) of distinct sets; written. every: id, a row for each of docs."""
+    kind = docs.schema["id"].dataType
+    flat = sketches.mapInArrow(_sketch_values(s), _rows_schema(kind))
+    lists = saved(_listed(flat).select("value", "id", "n", "c"), "near-lists")
+    listings = F.sum("c").over(Window.partitionBy("id")).alias("listings")  # texts that the id's lists, counted before cutting, hold
+    hub = lists.select("value", "id", "n", listings)
+    hub = hub.groupBy("value").agg(F.max_by(F.struct("id", "n"), F.struct("listings", "id")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    every_list = saved(lists.select("value", "id", "n", listings).join(hub, "value"), "near-rest")
+    discard(lists)
+    ids = saved(every_list.select("id").distinct(), "near-ids")
+    known = saved(sketches.join(_small(ids, s), "id", "left_semi"), "near-listed")
+    texts = docs.join(_small(ids, s), "id", "left_semi")
+    repeated = saved(every.join(_small(ids, s), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"), "near-repeated")
+    if not repeated.isEmpty():
+        again = texts.join(_small(repeated, s), "id", "left_semi").dropDuplicates(["id", "text"])
+        texts = texts.join(_small(repeated, s), "id", "left_anti").unionByName(again)
+    texts = saved(texts, "near-texts")
+    discard(ids, repeated)
+    rest = every_list.where("hub.id != id")
+    pairs = rest.where(_alike_sizes("hub.n", "n", s)).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    links = linked_pairs(pairs, known, texts, s)
     label = components(links)
-    named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    named = saved(named, "near-named")
-    out = small.join(named, ["n", "d1", "d2"], "left")
-    return out.select("id", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component"))
-
-
-def _all_links(sketches: DataFrame, docs: DataFrame, kind: T.DataType, s: Settings) -> DataFrame:
-    spark = sketches.sparkSession
-    top = sketches.mapInArrow(_often, "value long, c long").groupBy("value").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "value").limit(s.frequent).collect()
-    frequent = np.array([r["value"] for r in top], np.int64).view(U64)
-    order = np.argsort(frequent)
-    counts = np.array([r["c"] for r in top], np.int64)[order]
-    listed = sketches.mapInArrow(_prefixes(s, frequent[order], counts), T.StructType([T.StructField("value", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType())]))
-    listed = saved(listed, "near-listed")
-    sizes = listed.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    lists = saved(listed.join(sizes, "value"), "near-lists")
-    discard(listed)
-    known = lists.groupBy("id").agg(F.sum("m").alias("listings")).join(_small(sketches.select("id", "s1", "s2"), s.broadcast_ids), "id")
-    bare, lists = lists, saved(lists.join(_small(known, s.broadcast_ids), "id"), "near-lists")
-    discard(bare)
-    hubs = saved(lists.groupBy("value").agg(F.max(F.struct("listings", "id", "n", "s1", "s2")).alias("hub")), "near-list-hubs")
-    pairs = lists.join(hubs, "value").where((F.col("hub.id") != F.col("id")) & _alike_sizes("hub.n", "n", s) & _may_be_alike("hub.", ""))
-    links = saved(linked_pairs(pairs.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), sketches, docs, s), "near-linked")
-    # the hub has met all others of its list; what is left of a list has several components, or is done
-    rest = lists.join(hubs, "value").where(F.col("hub.id") != F.col("id")).select("value", "id", "n", "listings", "s1", "s2")
-    budget = s.budget
-    while True:
+    # a list's hub has met all others; what is left of the list has one component and is done, or is open
+    placed = saved(_placed(rest.drop("hub"), label), "near-open")
+    discard(every_list, label)
+    few = placed.where(F.col("m") <= s.few)
+    pairs = few.alias("a").join(few.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & _alike_sizes("a.n", "b.n", s))
+    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    many = placed.where(F.col("m") > s.few)
+    first = Window.partitionBy("component").orderBy(F.desc("listings"), "id")
+    pivots = many.where("component = main").select("id", "n", "listings", "component").distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= s.pivots)
+    outer = many.where("component != main").select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("main").alias("component")).distinct()
+    met = outer.join(pivots.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "component"), "component").where(_alike_sizes("n_a", "n_b", s))
+    links = _with(links, linked_pairs(pairs.unionByName(met.select("a", "b")).distinct(), known, texts, s))
+    label = components(links)
+    open_lists = saved(_placed(many.select("value", "id", "n"), label).select("id").distinct(), "near-open-ids")
+    discard(placed)
+    pairs = _pairs_by_whole_sets(texts.join(_small(open_lists, s), "id", "left_semi"), label, kind, s)
+    more = linked_pairs(pairs, known, texts, s)
+    discard(open_lists, known, texts)
+    if not more.isEmpty():
+        links = _with(links, more)
+        discard(label)
         label = components(links)
-        rest = rest.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rest = saved(rest, "near-rest")
-        each = rest.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same"))
-        state = each.groupBy("value").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("same").alias("same"), F.max_by("component", F.struct("c", "component")).alias("main"))
-        open_lists = state.where("parts > 1").groupBy("m", "same").agg(F.min_by("value", "value").alias("value"), F.min_by("main", "value").alias("main"))  # lists of the same members are one
-        open_lists = saved(open_lists.select("value", "m", "main"), "near-open")
-        if open_lists.isEmpty():
-            return links
-        rest = saved(rest.join(open_lists, "value"), "near-rest")
-        nth = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("listings"), "id"))
-        minor = rest.where("component != main").withColumn("nth", nth).where(F.col("nth") * F.col("m") <= F.greatest(F.lit(budget), F.col("m")))
-        pivots = saved(minor.select("value", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("s1").alias("a_s1"), F.col("s2").alias("a_s2")), "near-pivots")
-        met = rest.join(pivots, "value").where((F.col("component") != F.col("c_a")) & _alike_sizes("n", "n_a", s) & _may_be_alike("a_", ""))
-        links = saved(links.unionByName(linked_pairs(met.select("a", F.col("id").alias("b")).distinct(), sketches, docs, s)), "near-linked")
-        met_all = pivots.select("value", F.col("a").alias("id"))
-        rest = rest.join(met_all, ["value", "id"], "left_anti").select("value", "id", "n", "listings", "s1", "s2")
-        budget *= 4
+    discard(links)
+    release(docs.sparkSession)
+    return label
+
+
+def _with(links: DataFrame, more: DataFrame) -> DataFrame:
+    out = saved(links.unionByName(more), "near-linked")
+    discard(links, more)
+    return out
+
+
+def _placed(entries: DataFrame, label: DataFrame) -> DataFrame:
+    """entries (value, id, ...) of values that several components have, with component, m (the value's entries) and main (its largest component)."""
+    entries = entries.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    each = entries.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = F.max_by("component", F.struct("c", "component")).alias("main")
+    several = each.groupBy("value").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("parts"), main).where("parts > 1").drop("parts")
+    return entries.join(several, "value")
+
+
+def _pairs_by_whole_sets(texts: DataFrame, label: DataFrame, kind: T.DataType, s: Settings) -> DataFrame:
+    """All pairs (a, b) of texts in different components that may be linked, by lists of whole sets.
+
+    Each set is put in order, its rarest values (among these texts) first. Two linked sets of n and m values share
+    least(n, m) = threshold (n + m) / (100 + threshold) or more; if i and j are the places of their first shared value,
+    then 1 + min(n - i, m - j) is at least that, so only values at such places are listed, and the sizes that a partner
+    can have follow from i. Each list joins its members outside its main component, at those sizes, with all others.
+    """
+    t = s.threshold
+    flat = saved(texts.mapInArrow(_whole_sets(s), _rows_schema(kind)), "near-sets")
+    listed = saved(_listed(flat).drop("c"), "near-places")
+    discard(flat)
+    entries = saved(_placed(listed, label), "near-places")
+    discard(listed)
+
+    def bucket(size):  # of sizes within 5 per cent
+        return F.floor(F.log(size) / math.log(1.05)).cast("int")
+
+    least = F.ceil(F.col("n_a") * t / 100)
+    most = F.floor(((100 + t) * (F.col("back_a") + 1) - t * F.col("n_a")) / t)
+    a = entries.where("component != main").select("value", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("back").alias("back_a"), F.col("component").alias("c_a"))
+    a = a.where(least <= most).withColumn("size", F.explode(F.sequence(bucket(least), bucket(most))))
+    b = entries.select("value", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("back").alias("back_b"), F.col("component").alias("c_b"), "main", bucket(F.col("n")).alias("size"))
+    enough = (1 + F.least("back_a", "back_b")) * (100 + t) >= t * (F.col("n_a") + F.col("n_b"))
+    once = (F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    met = a.alias("a").join(b.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.size") == F.col("b.size")) & (F.col("c_a") != F.col("c_b")) & enough & _alike_sizes("n_a", "n_b", s) & once)
+    return met.select("a", "b").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, s: Settings = Settings(), *, doc_id: str = "doc_id", text: str = "text", by_row: bool = False) -> DataFrame:
@@ -366,14 +411,17 @@ def drop_near_duplicates(docs: DataFrame, s: Settings = Settings(), *, doc_id: s
     if not by_row:
         found = near_components(docs, s, doc_id=doc_id, text=text)
         gone = saved(found.where("id != component").select("id").distinct(), "near-gone")
-        gone = _small(gone.withColumnRenamed("id", "gone_"), s.broadcast_ids)
+        gone = _small(gone.withColumnRenamed("id", "gone_"), s)
         return docs.alias("d").join(gone.alias("g"), F.col(f"d.`{doc_id}`") == F.col("g.gone_"), "left_anti")
-    rows = saved(docs.withColumn("near_row_", F.monotonically_increasing_id()), "near-rows")
-    found = near_components(rows, s, doc_id="near_row_", text=text).select(F.col("id").alias("near_row_"), "component")
-    ids = rows.select("near_row_", F.col(f"`{doc_id}`").alias("own_"))
-    first = F.min(F.struct(F.col("own_").isNull().alias("none_"), "own_", "near_row_"))
-    kept = saved(found.join(ids, "near_row_").groupBy("component").agg(first.alias("first_")).select("first_.near_row_"), "near-kept")
-    return rows.join(kept, "near_row_", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    number, row = free_name(docs, "near_row_"), F.col("id")
+    rows = saved(docs.withColumn(number, F.monotonically_increasing_id()), "near-rows")
+    found = near_components(rows, s, doc_id=number, text=text)
+    own = rows.select(F.col(number).alias("id"), F.col(f"`{doc_id}`").alias("own"))
+    found = saved(found.join(own, "id"), "near-found")
+    best = F.min_by(row, F.struct(F.col("own").isNull(), "own", row)).alias("best")
+    several = found.groupBy("component").agg(best, F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    gone = saved(found.join(several, "component").where("id != best").select(row.alias(number)), "near-gone")
+    return rows.join(_small(gone, s), number, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

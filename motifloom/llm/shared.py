@@ -1,15 +1,13 @@
 """Files that the driver and every executor see.
 
-Everything lies under spark.checkpoint.dir. Where that setting is absent (a
-single machine, as in tests) a temporary folder takes its place. Arrays are
-written whole under a name of their own and then renamed, so a task that runs
-twice leaves the same file. Paths on the local file system are memory-mapped in
-place; others are first copied to an unnamed local file.
+Everything lies in the folder that motifloom.storage names. Arrays are written
+whole under a name of their own and then renamed, so a task that runs twice leaves
+the same file. Paths on the local file system are memory-mapped in place; others
+are first copied to an unnamed local file.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -17,34 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI; nothing is made yet."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "motifloom")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._saved_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what saved() wrote for df, which nothing may read any more, and lets the shuffle files of finished jobs go."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(df._saved_at)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    gc.collect()
-    jvm.System.gc()  # the cleaner deletes a shuffle once the driver has let go of it
+from pyspark.sql import DataFrame
+
+from ..storage import discard, shared_dir
+from ..storage import stored as saved
+
+__all__ = ["discard", "free_name", "map_array", "saved", "shared_dir", "write_array"]
 
 
 def free_name(df: DataFrame, base: str) -> str:

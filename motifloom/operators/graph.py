@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         moved = True
         while moved:
             ends = up.select(F.col("x").alias("up"), F.col("up").alias("top"))
-            near, up = up, stored(up.select("x", "up").join(ends, "up").select("x", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")), "up")
+            twice = up.select("x", "up").join(ends, "up").select("x", F.col("top").alias("up")).join(ends, "up")
+            near, up = up, stored(twice.select("x", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")), "up")
             moved = not up.where("moved").isEmpty()
             discard(near)
         old, up = (labels, edges, up), up.select("x", "up")

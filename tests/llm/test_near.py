@@ -53,11 +53,11 @@ def corpus(seed, groups=12, biggest=70):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("size,k,budget", [(2, 64, 16_384), (5, 16, 20)])
-def test_components_equal_brute_force(spark, size, k, budget):
+@pytest.mark.parametrize("size,k,few,pivots", [(2, 64, 8, 16), (5, 16, 2, 1), (2, 1 << 40, 1, 1)])
+def test_components_equal_brute_force(spark, size, k, few, pivots):
     rows = corpus(size)
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, component int").repartition(5)
-    got = {r["id"]: r for r in near.near_components(docs, near.Settings(words=size, k=k, budget=budget)).collect()}
+    got = {r["id"]: r for r in near.near_components(docs, near.Settings(words=size, k=k, few=few, pivots=pivots, chunk=7)).collect()}
     want = brute(rows, size)
     assert {i: r["component"] for i, r in got.items()} == want
     assert all(got[i]["n"] == len(shingles(t, size)) for i, t in rows)
@@ -66,7 +66,7 @@ def test_components_equal_brute_force(spark, size, k, budget):
 def test_without_broadcasts(spark):
     rows = corpus(7, 5, 30)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    s = near.Settings(words=2, broadcast_ids=0, broadcast_hubs=0, broadcast_bytes=0)
+    s = near.Settings(words=2, broadcast_bytes=0)
     got = {r["id"]: r["component"] for r in near.near_components(docs, s).collect()}
     assert got == brute(rows, 2)
 
