@@ -2,13 +2,19 @@
 
 Counts are taken from each whole text in one vectorised pass. For every language
 and source, mergeable quantile sketches (counts of logarithmic buckets, so
-merging is adding) give the quartiles of four measures; a text fails a rule if
-its measure lies beyond the median by more than `width` half-spreads, taken on
-the clean side of the median so that up to half of a group may be junk. Groups of
-fewer than `least` texts borrow their language's sketch, then that of all texts.
-The verdicts come from a join of texts and thresholds on language and source.
-
-Edge cases: a null or empty text has no words and fails the base rule; null
+merging is adding) describe four measures of the texts that pass the base rule.
+A limit comes from a group's sketch in two steps. A fence, `width` times the
+distance from the median to the 0.7 quantile beyond that quantile, parts the bulk
+from the rest, so that three tenths of a group may be junk; the limit then lies
+beyond the 0.99 quantile of the bulk, by `tail` times its distance from the median.
+(Low sides: 0.3 and 0.01.) A distance of zero, as where nearly all texts have no
+symbols, is replaced by the rule's floor; nothing else is fixed. Groups of fewer
+than `least` texts borrow their language's sketch, then that of all texts. The
+verdicts come from a join of texts and thresholds on language and source.
+
+Edge cases: a null or empty text has no words and fails the base rule; texts of
+any length are counted whole; a measure equal to its limit passes; every row is
+judged and counted by itself, so repeated rows and ids all stay or all go; null
 languages and sources are groups of their own; an empty table gives no rows;
 columns of any name pass through filter_quality unchanged.
 """
@@ -35,7 +41,7 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 @dataclass(frozen=True)
 class Rule:
-    """A measure made of two counts. floor: the least half-spread; low: also reject what lies below."""
+    """A measure made of two counts. floor: stands for a distance of zero; low: also reject what lies below."""
 
     over: str
     under: str
@@ -53,7 +59,8 @@ RULES = {
 
 @dataclass(frozen=True)
 class Settings:
-    width: float = 6.0  # half-spreads from the median to the threshold
+    width: float = 6.0  # distances from the 0.7 quantile to the fence around the bulk
+    tail: float = 3.0  # distances from the bulk's 0.99 quantile to the limit
     least: int = 100  # texts that a group needs for a sketch of its own
     accuracy: float = 0.01  # relative error of a quantile
     broadcast_groups: int = 50_000  # beyond so many groups the join shuffles instead
@@ -91,16 +98,19 @@ def _block_counts(block: W.Block) -> list[np.ndarray]:
 
 def with_counts(docs: DataFrame, text: str, name: str) -> DataFrame:
     """docs and one more column, a struct of COUNTS."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
+    own = [f"c{i}" for i in range(len(docs.columns))]  # names of any kind go in and come out again
+    at = docs.columns.index(text)
+    plain = docs.toDF(*own)
+    schema = T.StructType([*plain.schema.fields, T.StructField("counts", T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_block_counts(b) for b in W.blocks(batch.column(text))]
+            parts = [_block_counts(b) for b in W.blocks(batch.column(at))]
             if parts:
                 counts = [pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(counts, list(COUNTS))], [*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(counts, list(COUNTS))], [*own, "counts"])
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, name)
 
 
 def base_failed(counts: str = "") -> Column:
@@ -117,33 +127,42 @@ def thresholds(counted: DataFrame, by: tuple[str, str], counts: str = "", settin
     """One row a language and source: g_0, g_1 (their values), and low_R and high_R of each rule R."""
     gamma = (1 + settings.accuracy) / (1 - settings.accuracy)
     measures = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), _measure(rule, counts).alias("x")) for name, rule in RULES.items())))
-    good = counted.where(~base_failed(counts)).select(F.col(by[0]).alias("g_0"), F.col(by[1]).alias("g_1"), measures.alias("m"))
+    good = counted.where(~base_failed(counts)).select(F.col(f"`{by[0]}`").alias("g_0"), F.col(f"`{by[1]}`").alias("g_1"), measures.alias("m"))
     bucket = F.when(F.col("m.x") > 1e-9, F.ceil(F.log("m.x") / math.log(gamma)).cast("int"))
     sketch = good.groupBy("g_0", "g_1", F.col("m.rule").alias("rule"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     sketch = saved(sketch, "quality-sketch")
-    groups = saved(counted.select(F.col(by[0]).alias("g_0"), F.col(by[1]).alias("g_1")).distinct(), "quality-groups")
+    groups = saved(counted.select(F.col(f"`{by[0]}`").alias("g_0"), F.col(f"`{by[1]}`").alias("g_1")).distinct(), "quality-groups")
+
+    floor = F.create_map(*(F.lit(x) for name, rule in RULES.items() for x in (name, rule.floor)))[F.col("rule")]
 
-    def quartiles(level: int) -> DataFrame:
+    def limits(level: int) -> DataFrame:
+        """The keys of a level, rule, n, low and high."""
         keys = ["g_0", "g_1"][:level]
         merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
         every = Window.partitionBy(*keys, "rule")
-        ranked = merged.withColumns({"below": F.sum("n").over(every.orderBy(F.col("bucket").asc_nulls_first())), "all": F.sum("n").over(every)})
+        upwards = every.orderBy(F.col("bucket").asc_nulls_first())
         value = F.when(F.col("bucket").isNull(), 0.0).otherwise(2 * F.pow(F.lit(gamma), F.col("bucket")) / (gamma + 1))
-        at = [F.min(F.when(F.col("below") >= q * F.col("all"), value)).alias(f"q{round(100 * q)}") for q in (0.25, 0.5, 0.75)]
-        return ranked.groupBy(*keys, "rule").agg(F.max("all").alias("n"), *at)
+        ranked = merged.withColumns({"value": value, "below": F.sum("n").over(upwards), "all": F.sum("n").over(every)})
+        ranked = ranked.withColumns({f"q{round(100 * q)}": F.min(F.when(F.col("below") >= q * F.col("all"), F.col("value"))).over(every) for q in (0.3, 0.5, 0.7)})
+
+        def beyond(side: str, times: float):
+            distance = F.abs(F.col(side) - F.col("q50"))
+            return times * F.when(distance > 0, distance).otherwise(floor)
+
+        bulk = F.col("value").between(F.col("q30") - beyond("q30", settings.width), F.col("q70") + beyond("q70", settings.width))
+        ranked = ranked.withColumn("bulk", F.when(bulk, F.col("n")).otherwise(0))
+        ranked = ranked.withColumns({"below": F.sum("bulk").over(upwards), "inside": F.sum("bulk").over(every)})
+        ends = [F.min(F.when(F.col("below") >= q * F.col("inside"), F.col("value"))).alias(f"q{round(100 * q)}") for q in (0.01, 0.99)]
+        found = ranked.groupBy(*keys, "rule").agg(F.max("all").alias("n"), F.max("q50").alias("q50"), *ends)
+        return found.select(*keys, "rule", "n", (F.col("q1") - beyond("q1", settings.tail)).alias("low"), (F.col("q99") + beyond("q99", settings.tail)).alias("high"))
 
     wide = groups
     for level in (2, 1, 0):
-        q = quartiles(level)
+        found = limits(level)
         if level:
-            q = q.where(F.col("n") >= settings.least)
-        limits = []
-        for name, rule in RULES.items():
-            mid, low, high = F.col("q50"), F.col("q25"), F.col("q75")
-            top = mid + settings.width * F.greatest(mid - low, F.lit(rule.floor))
-            bottom = mid - settings.width * F.greatest(high - mid, F.lit(rule.floor)) if rule.low else F.lit(None).cast("double")
-            limits += [F.max(F.when(F.col("rule") == name, x)).alias(f"{side}_{name}_{level}") for side, x in (("low", bottom), ("high", top))]
-        table = q.groupBy(*["g_0", "g_1"][:level]).agg(*limits)
+            found = found.where(F.col("n") >= settings.least)
+        ends = [F.max(F.when((F.col("rule") == name) & (rule.low or side == "high"), F.col(side))).alias(f"{side}_{name}_{level}") for name, rule in RULES.items() for side in ("low", "high")]
+        table = found.groupBy(*["g_0", "g_1"][:level]).agg(*ends)
         if level:
             table = table.withColumnsRenamed({f"g_{i}": f"k_{i}" for i in range(level)})
             match = F.lit(True)
@@ -185,7 +204,8 @@ def judged(counted: DataFrame, by: tuple[str, str], name: str, counts: str = "",
 def filter_quality(docs: DataFrame, *, text: str = "text", by: tuple[str, str] = ("lang", "source"), settings: Settings = Settings()) -> DataFrame:
     """The rows of docs that fail no rule, with the columns of docs."""
     counts, failed = free_name(docs, "quality_counts"), free_name(docs, "quality_failed")
-    counted = with_counts(docs.select(text, *by), text, counts).select(*by, counts)
+    needed = [F.col(f"`{c}`") for c in dict.fromkeys((text, *by))]
+    counted = with_counts(docs.select(*needed), text, counts).select(*(F.col(f"`{c}`") for c in (*by, counts)))
     counted = saved(counted, "quality-counts")
     table = judged_table(counted, by, counts, settings)
     full = with_counts(docs, text, counts)

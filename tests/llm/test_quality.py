@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -59,7 +60,18 @@ def test_filter_keeps_columns_and_stands_empty_tables(spark):
     assert quality.filter_quality(docs.where("false")).count() == 0
 
 
-def test_quantiles_within_accuracy(spark):
+def _limits(values, low=False, width=6.0, tail=3.0, floor=0.02):
+    """The two steps on sorted values themselves."""
+    at = lambda xs, q: xs[max(math.ceil(q * len(xs)) - 1, 0)]
+    far = lambda a, b, times: times * (abs(a - b) or floor)
+    x = sorted(values)
+    mid, q3, q7 = (at(x, q) for q in (0.5, 0.3, 0.7))
+    bulk = [v for v in x if q3 - far(q3, mid, width) <= v <= q7 + far(q7, mid, width)]
+    q1, q99 = at(bulk, 0.01), at(bulk, 0.99)
+    return q1 - far(q1, mid, tail), q99 + far(q99, mid, tail)
+
+
+def test_limits_equal_those_of_the_values_within_accuracy(spark):
     rest = " ".join(f"k{j}" for j in range(60))
     rows = [(i, "a" * (i % 90 + 3) + f" {rest} {i}", "en", "s") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -67,7 +79,31 @@ def test_quantiles_within_accuracy(spark):
     good = [r for r in counted.where(~quality.base_failed()).collect()]
     limits = quality.thresholds(counted, ("lang", "source")).first()
     assert len(good) == 400
-    x = sorted(r["word_chars"] / r["n_words"] for r in good)
-    mid, low, high = (x[int(q * len(x))] for q in (0.5, 0.25, 0.75))
-    assert abs(limits["high_word_length"] - (mid + 6 * max(mid - low, 0.4))) < 0.5
-    assert abs(limits["low_word_length"] - (mid - 6 * max(high - mid, 0.4))) < 0.5
+    low, high = _limits([r["word_chars"] / r["n_words"] for r in good], floor=0.4)
+    assert abs(limits["high_word_length"] - high) < 0.3 and abs(limits["low_word_length"] - low) < 0.3
+
+
+def test_sketches_decide_where_the_median_is_zero_and_three_tenths_are_noise(spark):
+    """Two sources, in both half the texts have no symbols; a fifth has few in one and many in the other; the rest is noise."""
+    words = [f"word{j}" for j in range(100)]
+    rows, values = [], {}
+    for source, most in (("plain", 4), ("tables", 30)):
+        for i in range(300):
+            n = 0 if i < 155 else 1 + i % most if i < 212 else 300 + i % 50
+            rows.append((len(rows), " ".join(words) + f" x{i} " + "#" * n, "en", source))
+            values.setdefault(source, []).append(n / (102 if n else 101))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counted = quality.with_counts(docs, "text", "c").select("lang", "source", "c.*")
+    got = {r["g_1"]: r["high_symbols"] for r in quality.thresholds(counted, ("lang", "source")).collect()}
+    for source, high in got.items():
+        assert abs(high - _limits(values[source])[1]) < 0.03 * high
+    assert got["tables"] > 4 * got["plain"] > 0.2
+    kept = {r["doc_id"] for r in quality.filter_quality(docs).collect()}
+    assert kept == {i for i, (_, _, _, source) in enumerate(rows) if values[source][i % 300] < 1}
+
+
+def test_repeated_rows_dots_in_names_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, GOOD, "en", "s")] * 3 + [(2, long, "en", "s"), (None, "x", None, None)], "doc_id long, `text.of` string, `lang.of` string, `source.of` string")
+    kept = quality.filter_quality(docs, text="text.of", by=("lang.of", "source.of"))
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 1, 2]
