@@ -3,6 +3,7 @@ import hashlib
 import json
 import os
 import re
+import time
 
 from motifloom.llm import secrets as S
 
@@ -143,3 +144,28 @@ def test_enciphered_and_dsa_keys():
         masked("x ", block, " y", "der")
         masked("x ", block.replace("\n", "\\n"), " y", "der")
     assert kinds(pem("RSA PRIVATE KEY", b64(b"\xfe" * 608))) == [] and kinds(pem("RSA PRIVATE KEY", b64(b"\xfe" * 607), head)) == []
+
+
+def test_tokens_must_be_signed():
+    header, claims = (base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "none"}, {"sub": "1"}))
+    signed = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    for text in (f"{header}.{claims}.", f"{header}.{claims}.c2lnbmF0dXJl", f"{signed}.{claims}."):
+        assert S.confirmed_spans(text) == []
+    token = f"{signed}.{claims}.c2lnbmF0dXJl"
+    for before, after in (("", ""), ("x.y.", ""), ("longer-than-ten.", ".more"), ("Bearer ", " end"), ("id_", "")):
+        assert S.confirmed_spans(before + token + after) == [(len(before), 5, len(before) + len(token))]
+
+
+def test_hex_keys_at_either_parity():
+    for before in ("", "0", "00", "a0f"):
+        for after in ("", "f", "ff"):
+            text = before + PKCS8.hex() + after
+            assert S.confirmed_spans(text) == [(len(before), 3, len(before) + 2 * len(PKCS8))]
+
+
+def test_long_runs_take_linear_time():
+    for unit in ("ey", "eyJ", "eyJh", "eyIi", "ew", "30", "MII", "eyJ.", "ey.", "=", "AKIA", "-"):
+        text = unit * (1_000_000 // len(unit)) + ".eyJhIjoxfQ.abc"
+        began = time.perf_counter()
+        S.confirmed_spans(text)
+        assert time.perf_counter() - began < (1 if unit == "ey" else 20), unit  # a quadratic search takes minutes
