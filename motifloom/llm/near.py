@@ -141,55 +141,53 @@ def _shared_least(s: Settings) -> int:
     return s.k
 
 
-def _rows(values: np.ndarray, row: np.ndarray, ids: pa.Array, n: np.ndarray, late: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (value, id, n, late) in short batches. row: of each value, in ids, n and late."""
+def _rows(values: np.ndarray, row: np.ndarray, ids: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (value, id, n) in short batches. row: of each value, in ids and n."""
+    n = n.astype(np.int32)
     for at in range(0, len(values), 65_536):
         r = row[at : at + 65_536]
-        yield pa.RecordBatch.from_arrays([pa.array(values[at : at + 65_536].view(np.int64)), ids.take(pa.array(r)), pa.array(n[r]), pa.array(late[r])], ["value", "id", "n", "late"])
+        yield pa.RecordBatch.from_arrays([pa.array(values[at : at + 65_536].view(np.int64)), ids.take(pa.array(r)), pa.array(n[r])], ["value", "id", "n"])
 
 
 def _rows_schema(kind: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField("value", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("late", T.LongType())])
+    return T.StructType([T.StructField("value", T.LongType()), T.StructField("id", kind), T.StructField("n", T.IntegerType())])
 
 
-def _sketch_values(s: Settings):
-    """The values of sketches. late: of a sketch's values in any one order of all, whoever is alike shares one that at least so many come after."""
-    least = _shared_least(s)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = np.asarray(batch.column("n")).astype(np.int64)
-            values, sizes = _flat_sketches(batch)
-            certain = n * 100 <= s.k * s.threshold  # whoever is alike fits into a sketch too
-            late = np.where(certain, -(-n * s.threshold // 100) - 1, least - 1)
-            late = np.where(n * (100 - s.threshold) < s.threshold, n, late)  # too few to have an alike but unequal set
-            yield from _rows(values, np.repeat(np.arange(len(n)), sizes), batch.column("id"), n, late)
-
-    return run
+def _sketch_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values, sizes = _flat_sketches(batch)
+        yield from _rows(values, np.repeat(np.arange(len(batch)), sizes), batch.column("id"), np.asarray(batch.column("n")))
 
 
 def _whole_sets(s: Settings):
-    """The values of whole sets; late as in _sketch_values."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in W.blocks(batch.column("text"), lower=True):
                 row, g = shingles(block, s.words)
-                n = np.bincount(row, minlength=block.rows)
-                yield from _rows(g, row, batch.column("id").slice(block.first, block.rows), n, -(-n * s.threshold // 100) - 1)
+                yield from _rows(g, row, batch.column("id").slice(block.first, block.rows), np.bincount(row, minlength=block.rows))
 
     return run
 
 
-def _listed(flat: DataFrame) -> DataFrame:
-    """value, id, n, c, back of those values of flat (value, id, n, late) that several ids have and that are early in their id's order.
+def _after(s: Settings, whole: bool):
+    """Of a set's (or sketch's) values in any one order of all, whoever is alike shares one that at least so many come after."""
+    n = F.col("n")
+    most = F.ceil(n * s.threshold / 100) - 1
+    if not whole:
+        most = F.when(n * 100 <= s.k * s.threshold, most).otherwise(_shared_least(s) - 1)  # first case: whoever is alike fits into a sketch too
+    return F.when(n * (100 - s.threshold) < s.threshold, n).otherwise(most)  # too few values to have an alike but unequal set
+
+
+def _listed(flat: DataFrame, after) -> DataFrame:
+    """value, id, n, back, listings of those values of flat (value, id, n) that several ids have and that are early in their id's order.
 
-    The order is by c, the number of ids that have a value; back: how many values of the id come after, `late` or more.
+    The order is by the number of ids that have a value; back: how many values of the id come after, `after` or more;
+    listings: how many ids have the id's early values, summed.
     """
     counts = flat.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     last_first = Window.partitionBy("id").orderBy(F.desc("c"), F.desc("value"))
-    shared = flat.join(counts, "value").withColumn("back", F.row_number().over(last_first).cast("long") - 1)
-    return shared.where("back >= late").select("value", "id", "n", "c", "back")
+    shared = flat.join(counts, "value").withColumn("back", F.row_number().over(last_first) - 1).where(F.col("back") >= after)
+    return shared.withColumn("listings", F.sum("c").over(Window.partitionBy("id"))).drop("c")
 
 
 def _estimated(s: Settings):
@@ -282,6 +280,8 @@ def linked_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, s: Sett
     met = docs.join(_small(wanted, s), "id").select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
     links = saved(sure.unionByName(met.select("a", "b", "text").mapInArrow(_exact(s), T.StructType(pair))), "near-linked")
     discard(states, wanted)
+    del sized, met, partners, own, parts
+    release(docs.sparkSession)
     return links
 
 
@@ -300,6 +300,7 @@ def near_components(docs: DataFrame, s: Settings = Settings(), *, doc_id: str =
     classes = saved(classes, "near-classes")
     small = saved(every.select("id", *key), "near-every")
     discard(every)
+    release(docs.sparkSession)
     label = _components(classes.where("id is not null").select("id", "n", "sketch"), docs, small, s)
     several = classes.join(label.withColumnRenamed("component", "low"), "id", "left").where("rows > 1 or low is not null")  # the others' component is their own id
     several = saved(several.select(*key, F.coalesce("low", "id").alias("component")), "near-named")
@@ -311,12 +312,12 @@ def near_components(docs: DataFrame, s: Settings = Settings(), *, doc_id: str =
 def _components(sketches: DataFrame, docs: DataFrame, every: DataFrame, s: Settings) -> DataFrame:
     """id, component of the linked ones among sketches (id, n, sketch) of distinct sets; written. every: id, a row for each of docs."""
     kind = docs.schema["id"].dataType
-    flat = sketches.mapInArrow(_sketch_values(s), _rows_schema(kind))
-    lists = saved(_listed(flat).select("value", "id", "n", "c"), "near-lists")
-    listings = F.sum("c").over(Window.partitionBy("id")).alias("listings")  # texts that the id's lists, counted before cutting, hold
-    hub = lists.select("value", "id", "n", listings)
-    hub = hub.groupBy("value").agg(F.max_by(F.struct("id", "n"), F.struct("listings", "id")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    every_list = saved(lists.select("value", "id", "n", listings).join(hub, "value"), "near-rest")
+    flat = sketches.mapInArrow(_sketch_values, _rows_schema(kind))
+    lists = saved(_listed(flat, _after(s, whole=False)).drop("back"), "near-lists")
+    del flat
+    release(docs.sparkSession)
+    hub = lists.groupBy("value").agg(F.max_by(F.struct("id", "n"), F.struct("listings", "id")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    every_list = saved(lists.join(hub, "value"), "near-rest")
     discard(lists)
     ids = saved(every_list.select("id").distinct(), "near-ids")
     known = saved(sketches.join(_small(ids, s), "id", "left_semi"), "near-listed")
@@ -383,8 +384,9 @@ def _pairs_by_whole_sets(texts: DataFrame, label: DataFrame, kind: T.DataType, s
     """
     t = s.threshold
     flat = saved(texts.mapInArrow(_whole_sets(s), _rows_schema(kind)), "near-sets")
-    listed = saved(_listed(flat).drop("c"), "near-places")
+    listed = saved(_listed(flat, _after(s, whole=True)).drop("listings"), "near-places")
     discard(flat)
+    release(texts.sparkSession)
     entries = saved(_placed(listed, label), "near-places")
     discard(listed)
 
