@@ -98,6 +98,14 @@ g AS (SELECT substring(run, i, 3) AS gram FROM (SELECT run, unnest(range(1, leng
 n AS (SELECT gram, count(*) AS n FROM g GROUP BY gram)"""
 
 ORACLE_SQL = {
+    "motif_export": f"""WITH c AS ({I.MOTIFS_SQL}), p AS (SELECT motif, pos, string_agg(CAST(CAST(count AS BIGINT) AS VARCHAR), chr(9) ORDER BY base) AS line FROM c GROUP BY motif, pos),
+        l AS (SELECT motif, string_agg(line, chr(10) ORDER BY pos) AS body, count(*) AS width FROM p GROUP BY motif),
+        f AS (SELECT motif, pos, string_agg(printf('%f', freq), ' ' ORDER BY base) AS line FROM ({I.WEIGHTS_SQL}) GROUP BY motif, pos), e AS (SELECT motif, string_agg(line, chr(10) ORDER BY pos) AS body FROM f GROUP BY motif)
+        SELECT motif, 'M.' || motif || chr(10) || body || chr(10) || 'END' AS text, 'matcompare' AS style FROM l UNION ALL SELECT motif, '>' || motif || ' Matrix' || chr(9) || width || chr(10) || body || chr(10) || '<', 'ahab' FROM l
+        UNION ALL SELECT motif, body || chr(10), 'columns' FROM l UNION ALL SELECT motif, body || chr(10), 'cisevolver' FROM e""",
+    "motif_example_sites": f"""WITH c AS ({I.MOTIFS_SQL}), u AS (SELECT *, CAST(sum(CAST(count AS BIGINT)) OVER (PARTITION BY motif, pos ORDER BY base) AS BIGINT) AS upto FROM c),
+        x AS (SELECT motif, pos, base, unnest(generate_series(upto - CAST(count AS BIGINT), upto - 1)) AS site FROM u WHERE count >= 1), n AS (SELECT motif, sum(count) AS n FROM c WHERE pos = 0 GROUP BY motif)
+        SELECT x.motif, site, string_agg(base, '' ORDER BY pos) AS seq FROM x JOIN n ON n.motif = x.motif WHERE site < n.n GROUP BY x.motif, site""",
     "motif_weights": f"{_W} SELECT motif, CAST(pos AS INTEGER) AS pos, base, round(freq, 6) + 0.0 AS freq, round(weight, 6) + 0.0 AS weight, round(freq * weight, 6) + 0.0 AS info FROM w",
     "motif_positive_weights": f"""WITH m AS ({I.MOTIFS_SQL}), q AS (SELECT *, CASE WHEN base IN ('A', 'T') THEN 0.3 ELSE 0.2 END AS p FROM m),
         f AS (SELECT *, (count + 2 * p) / (sum(count) OVER (PARTITION BY motif, pos) + 2) AS freq FROM q)

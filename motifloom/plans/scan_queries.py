@@ -66,12 +66,29 @@ def scan_gff(spark, sf_dir):
     return site_lines(_scanned(spark, sf_dir, "absolute", ABSOLUTE))
 
 
-QUERIES = {f.__name__: f for f in (scan_absolute, scan_relative, scan_pvalue, scan_markov, scan_counts, scan_gff)}
+def words_above(spark, sf_dir):
+    """All words that score half a motif's best or more."""
+    found = [(m, word, score) for m, w in weights().items() for word, score in T.sequences_above(w, float(w.max(axis=0).sum()) / 2)]
+    return spark.createDataFrame(found, "motif string, word string, score double").select("motif", "word", F.round("score", 6).alias("score"))
 
 
-def _scan_sql(limits: dict[str, float], column: str = "weight", strict: bool = False) -> str:
-    cut = "CASE h.motif " + " ".join(f"WHEN '{m}' THEN {v!r}" for m, v in limits.items()) + " END"
-    return f"""WITH s AS ({I.SEQUENCES_SQL}), w AS ({I.WEIGHTS_SQL}), x AS (SELECT motif, max(pos) + 1 AS width FROM w GROUP BY motif),
+QUERIES = {f.__name__: f for f in (scan_absolute, scan_relative, scan_pvalue, scan_markov, scan_counts, scan_gff, words_above)}
+
+
+#: Cutoffs (motif, cut), worked out from the weights w: the best score less a part, and the distribution over all words.
+_RELATIVE = f"SELECT motif, log2({RELATIVE}) + sum(best) AS cut FROM (SELECT motif, pos, max(weight) AS best FROM w GROUP BY motif, pos) GROUP BY motif"
+_P_VALUE = f"""WITH RECURSIVE z AS (SELECT motif, 1000.0 / (max(weight) - min(weight)) AS scale, max(pos) + 1 AS width FROM w GROUP BY motif),
+      i AS (SELECT w.motif, pos, base, CAST(sign(weight) * floor(abs(weight * scale) + 0.5) AS BIGINT) AS step FROM w JOIN z ON z.motif = w.motif),
+      r AS (SELECT motif, 0 AS n, CAST(0 AS BIGINT) AS score FROM z UNION ALL SELECT r.motif, n + 1, score + step FROM r JOIN i ON i.motif = r.motif AND i.pos = n),
+      d AS (SELECT r.motif, score, count(*) / pow(4, any_value(width)) AS share, any_value(scale) AS scale FROM r JOIN z ON z.motif = r.motif AND n = width GROUP BY r.motif, score),
+      c AS (SELECT *, sum(share) OVER o AS total, lag(score) OVER o AS above, max(score) OVER (PARTITION BY motif) AS top FROM d WINDOW o AS (PARTITION BY motif ORDER BY score DESC)),
+      m AS (SELECT motif, max(score) AS score FROM c WHERE total > {P_VALUE} GROUP BY motif)
+    SELECT c.motif, trunc((c.score + 1 + coalesce(above, 2 * (top + 1))) / 2.0) / scale AS cut FROM c JOIN m ON m.motif = c.motif AND m.score = c.score"""
+
+
+def _scan_sql(cutoffs: str, column: str = "weight", strict: bool = False) -> str:
+    cut = "(SELECT cut FROM k WHERE k.motif = h.motif)"
+    return f"""WITH s AS ({I.SEQUENCES_SQL}), w AS ({I.WEIGHTS_SQL}), k AS ({cutoffs}), x AS (SELECT motif, max(pos) + 1 AS width FROM w GROUP BY motif),
     b AS (SELECT w.motif, '+' AS strand, pos, base, {column} AS weight FROM w UNION ALL SELECT w.motif, '-', x.width - 1 - pos, translate(base, 'ACGT', 'TGCA'), {column} FROM w JOIN x ON x.motif = w.motif),
     p AS (SELECT seq_id, unnest(range(1, length(seq) + 1)) AS i, unnest(string_split(seq, '')) AS base FROM s WHERE seq <> ''),
     l AS (SELECT seq_id, length(seq) AS n FROM s),
@@ -95,13 +112,16 @@ _MARKOV_SQL = f"""WITH s AS ({I.SEQUENCES_SQL}), w AS ({I.WEIGHTS_SQL}), x AS (S
     WHERE begin_ >= 1 AND begin_ + x.width - 1 <= l.n AND h.score > {MARKOV}"""
 
 _PLAIN = ' SELECT seq, motif, begin, "end", round(score, 6) AS score, strand FROM f'
-_SCAN = _scan_sql(T.cutoffs(weights(), "absolute", ABSOLUTE))
+_SCAN = _scan_sql(f"SELECT DISTINCT motif, {ABSOLUTE} AS cut FROM w")
 
 ORACLE_SQL = {
     "scan_absolute": _SCAN + _PLAIN,
-    "scan_relative": _scan_sql(T.cutoffs(weights(), "relative", RELATIVE)) + _PLAIN,
-    "scan_pvalue": _scan_sql(T.cutoffs(weights(), "pvalue", P_VALUE)) + _PLAIN,
+    "scan_relative": _scan_sql(_RELATIVE) + _PLAIN,
+    "scan_pvalue": _scan_sql(_P_VALUE) + _PLAIN,
     "scan_markov": _MARKOV_SQL,
+    "words_above": f"""WITH RECURSIVE w AS ({I.WEIGHTS_SQL}), b AS (SELECT motif, max(pos) + 1 AS width FROM w GROUP BY motif), t AS (SELECT motif, sum(best) / 2 AS least FROM (SELECT motif, pos, max(weight) AS best FROM w GROUP BY motif, pos) GROUP BY motif),
+        r AS (SELECT motif, 0 AS n, '' AS word, CAST(0 AS DOUBLE) AS score FROM b UNION ALL SELECT r.motif, n + 1, word || base, r.score + weight FROM r JOIN w ON w.motif = r.motif AND w.pos = n)
+        SELECT r.motif, word, round(score, 6) AS score FROM r JOIN b ON b.motif = r.motif AND n = width JOIN t ON t.motif = r.motif WHERE score >= least""",
     "scan_counts": _SCAN + " SELECT seq, count(*) AS n FROM f GROUP BY ROLLUP (seq)",
     "scan_gff": _SCAN + """ SELECT concat_ws(chr(9), seq, 'scan', motif, CAST(begin AS VARCHAR), CAST("end" AS VARCHAR), printf('%.6f', score), strand, '.', '') AS value FROM f""",
 }

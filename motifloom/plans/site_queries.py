@@ -167,7 +167,8 @@ _MODEL = """WITH r AS (SELECT o_orderpriority, o_orderkey AS module, o_totalpric
 ORACLE_SQL = {
     "site_cells": f"{_CELLS} SELECT * FROM c",
     "site_steps": f"""{_CELLS}, d AS (SELECT *, concat_ws(':', begin_x, begin_y, motif, strand) AS id FROM c),
-        e AS (SELECT a.seq_x, a.seq_y, a.id AS from_id, b.id AS to_id, CAST(b.begin_x - a.end_x - 1 AS DOUBLE) AS u, CAST(b.begin_y - a.end_y - 1 AS DOUBLE) AS v FROM d a JOIN d b ON a.seq_x = b.seq_x AND a.seq_y = b.seq_y
+        p AS (SELECT *, unnest(generate_series((end_x + 1) // 1000, (end_x + 999) // 1000)) AS part FROM d), q AS (SELECT *, begin_x // 1000 AS part FROM d),
+        e AS (SELECT a.seq_x, a.seq_y, a.id AS from_id, b.id AS to_id, CAST(b.begin_x - a.end_x - 1 AS DOUBLE) AS u, CAST(b.begin_y - a.end_y - 1 AS DOUBLE) AS v FROM p a JOIN q b ON a.seq_x = b.seq_x AND a.seq_y = b.seq_y AND a.part = b.part
           AND b.begin_x - a.end_x BETWEEN 1 AND 999 AND b.begin_y - a.end_y BETWEEN 1 AND 999),
         t AS (SELECT *, abs(u - v) * (2 * pi() / {_w.rotation}) AS turn FROM e), g AS (SELECT *, turn - 2 * pi() * floor(turn / (2 * pi())) AS m FROM t), h AS (SELECT *, least(m, 2 * pi() - m) AS angle FROM g)
         SELECT seq_x, seq_y, from_id, to_id, round(CASE WHEN u + v > 0 THEN {_w.mu} * (u + v) / 2 + {_w.nu} * (u - v) * (u - v) / (u + v) + {_w.xi} * angle * angle / (u + v) ELSE 0 END, 6) AS penalty FROM h""",

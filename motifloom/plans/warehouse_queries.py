@@ -28,13 +28,9 @@ def staging(spark, sf_dir):
     return site.unionByName(head.select(*site.columns))
 
 
-def _star(spark, sf_dir):
-    return W.star(stored(staging(spark, sf_dir), "staging"))
-
-
 def _query(name: str):
     def run(spark, sf_dir):
-        return _star(spark, sf_dir)[name]
+        return W.star(stored(staging(spark, sf_dir), "staging"), name)[name]
 
     run.__name__ = f"star_{name}"
     return run
@@ -62,8 +58,11 @@ _STAGING = f"""WITH t AS (SELECT o_orderpriority AS file, CASE l_returnflag WHEN
   slices AS (SELECT CAST(row_number() OVER (ORDER BY file, gene, seq_id, begin_, end_, reverse, gene_name) AS INTEGER) AS id, * FROM sl0),
   rg0 AS (SELECT DISTINCT q.id AS seq_id, slice_start + begin_ AS begin_, slice_start + end_ AS end_, m.id AS module_id FROM st JOIN mods m USING (file, module) JOIN seqs q ON q.species = st.species AND q.name = st.chromosome AND q.db = st.db WHERE kind = 'CisModule'),
   regs AS (SELECT CAST(row_number() OVER (ORDER BY module_id, seq_id, begin_, end_) AS INTEGER) AS id, * FROM rg0),
-  cl0 AS (SELECT m.id AS module_id, CAST(row_number() OVER (PARTITION BY m.id ORDER BY begin_, end_, kind, site_strand) AS INTEGER) AS nth, f.id AS factor_id, st.score AS delta FROM st JOIN mods m USING (file, module) JOIN facts f ON f.name = kind WHERE kind <> 'CisModule' AND species = 'HUMAN'),
-  cols AS (SELECT CAST(row_number() OVER (ORDER BY module_id, nth) AS INTEGER) AS id, * FROM cl0)"""
+  cl0 AS (SELECT m.id AS module_id, CAST(row_number() OVER (PARTITION BY m.id ORDER BY begin_, end_, kind, site_strand, st.score) AS INTEGER) AS nth, f.id AS factor_id, st.score AS delta FROM st JOIN mods m USING (file, module) JOIN facts f ON f.name = kind WHERE kind <> 'CisModule' AND species = 'HUMAN'),
+  cols AS (SELECT CAST(row_number() OVER (ORDER BY module_id, nth) AS INTEGER) AS id, * FROM cl0),
+  si0 AS (SELECT r.id AS region_id, m.id AS module_id, CAST(row_number() OVER (PARTITION BY r.id ORDER BY st.begin_, st.end_, kind, site_strand, st.score, weight, strand) AS INTEGER) AS nth, weight,
+    CASE WHEN strand = 'Crick' THEN slice_end - st.end_ ELSE slice_start + st.begin_ END AS pos, CASE WHEN strand = 'Crick' THEN CASE WHEN site_strand = '-' THEN '+' ELSE '-' END ELSE site_strand END AS strand
+    FROM st JOIN mods m USING (file, module) JOIN seqs q ON q.species = st.species AND q.name = st.chromosome AND q.db = st.db JOIN regs r ON r.module_id = m.id AND r.seq_id = q.id WHERE kind <> 'CisModule')"""
 
 ORACLE_SQL = {
     "star_staging": f'{_STAGING} SELECT * RENAME (begin_ AS begin, end_ AS "end") FROM st',
@@ -75,4 +74,5 @@ ORACLE_SQL = {
     "star_region": f'{_STAGING} SELECT * RENAME (begin_ AS begin, end_ AS "end") FROM regs',
     "star_factor": f"{_STAGING} SELECT id, name, width FROM facts",
     "star_column": f"{_STAGING} SELECT * FROM cols",
+    "star_site": f"{_STAGING} SELECT CAST(row_number() OVER (ORDER BY region_id, s.nth) AS INTEGER) AS id, region_id, s.nth, c.id AS column_id, pos, s.strand, weight FROM si0 s JOIN cols c USING (module_id, nth)",
 }

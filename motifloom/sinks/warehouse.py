@@ -3,9 +3,9 @@
 staging: file, species, gene, gene_name, strand (Watson or Crick of the slice),
 db, chromosome, slice_start, slice_end, kind (CisModule or a factor), begin, end,
 score, site_strand, module (of the row's file), weight. Keys are numbers by the
-order of the natural keys, so a load gives the same keys every time. Rows are
-numbered per factor, sequence and so on, all far smaller than the staging table;
-sites and columns are numbered within their region and module.
+order of the natural keys, so a load gives the same keys every time. The rows of
+a table are dealt by ranges of that order, numbered within each range, and moved
+on by the number of rows in the ranges before, so no task gets a whole table.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 STAGING = (
     "file string, species string, gene string, gene_name string, strand string, db string, chromosome string, slice_start int, slice_end int, "
     "kind string, begin int, end int, score double, site_strand string, module int, weight double"
@@ -27,7 +29,12 @@ def species_of(gene: Column) -> Column:
 
 def numbered(rows: DataFrame, *natural: str) -> DataFrame:
     """rows with id: 1, 2, ... in order of the natural key."""
-    return rows.withColumn("id", F.row_number().over(Window.orderBy(*natural)))
+    dealt = stored(rows.repartitionByRange(*natural).withColumn("range_", F.spark_partition_id()), "numbered")
+    before = F.sum("rows_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = dealt.groupBy("range_").agg(F.count(F.lit(1)).alias("rows_"))  # one row a partition
+    offsets = ranges.select("range_", F.coalesce(before, F.lit(0)).alias("before_"))
+    own = F.row_number().over(Window.partitionBy("range_").orderBy(*natural))
+    return dealt.join(F.broadcast(offsets), "range_").withColumn("id", (F.col("before_") + own).cast("int")).drop("range_", "before_")
 
 
 def factors(staging: DataFrame) -> DataFrame:
@@ -70,7 +77,7 @@ def columns(staging: DataFrame, mods: DataFrame, facts: DataFrame, species: str
     """id, module_id, nth (from 1, in order of begin on one species), factor_id, delta."""
     rows = staging.where((F.col("kind") != _HEAD) & (F.col("species") == species))
     keyed = rows.join(mods.select(F.col("id").alias("module_id"), "file", "module"), ["file", "module"]).join(facts.select(F.col("id").alias("factor_id"), F.col("name").alias("kind")), "kind")
-    nth = F.row_number().over(Window.partitionBy("module_id").orderBy("begin", "end", "kind", "site_strand"))
+    nth = F.row_number().over(Window.partitionBy("module_id").orderBy("begin", "end", "kind", "site_strand", "score"))
     out = keyed.withColumn("nth", nth).select("module_id", "nth", "factor_id", F.col("score").alias("delta"))
     return numbered(out, "module_id", "nth").select("id", "module_id", "nth", "factor_id", "delta")
 
@@ -82,7 +89,7 @@ def sites(staging: DataFrame, regions_: DataFrame, mods: DataFrame, seqs: DataFr
     keyed = keyed.join(seqs.select(F.col("id").alias("seq_id"), "species", F.col("name").alias("chromosome"), "db"), ["species", "chromosome", "db"])
     keyed = keyed.join(regions_.select(F.col("id").alias("region_id"), "module_id", "seq_id"), ["module_id", "seq_id"])
     crick = F.col("strand") == "Crick"
-    nth = F.row_number().over(Window.partitionBy("region_id").orderBy("begin", "end", "kind", "site_strand"))
+    nth = F.row_number().over(Window.partitionBy("region_id").orderBy("begin", "end", "kind", "site_strand", "score", "weight", "strand"))
     placed = keyed.withColumn("nth", nth).select(
         "region_id", "nth", "module_id", "weight",
         F.when(crick, F.col("slice_end") - F.col("end")).otherwise(F.col("slice_start") + F.col("begin")).alias("pos"),
@@ -92,15 +99,32 @@ def sites(staging: DataFrame, regions_: DataFrame, mods: DataFrame, seqs: DataFr
     return numbered(out, "region_id", "nth").select("id", "region_id", "nth", "column_id", "pos", "strand", "weight")
 
 
-def star(staging: DataFrame) -> dict[str, DataFrame]:
-    """All tables of a load."""
-    seqs, facts, mods = sequences(staging), factors(staging), modules(staging)
-    slices_, regions_ = slices(staging, seqs), regions(staging, mods, seqs)
-    cols = columns(staging, mods, facts)
-    return {
-        "sequence": seqs, "slice": slices_, "module": mods, "module_slice": module_slices(staging, mods, slices_), "region": regions_, "factor": facts, "column": cols,
-        "site": sites(staging, regions_, mods, seqs, cols), "gene_description": staging.select("gene", F.current_date().alias("modified"), F.col("gene_name").alias("description")).distinct(),
-    }
+#: Each table from those that it refers to, by name.
+_TABLES = {
+    "sequence": lambda s, t: sequences(s),
+    "factor": lambda s, t: factors(s),
+    "module": lambda s, t: modules(s),
+    "slice": lambda s, t: slices(s, t("sequence")),
+    "module_slice": lambda s, t: module_slices(s, t("module"), t("slice")),
+    "region": lambda s, t: regions(s, t("module"), t("sequence")),
+    "column": lambda s, t: columns(s, t("module"), t("factor")),
+    "site": lambda s, t: sites(s, t("region"), t("module"), t("sequence"), t("column")),
+    "gene_description": lambda s, t: s.select("gene", F.current_date().alias("modified"), F.col("gene_name").alias("description")).distinct(),
+}
+
+
+def star(staging: DataFrame, *names: str) -> dict[str, DataFrame]:
+    """The named tables of a load and those that they refer to; all if none is named."""
+    made: dict[str, DataFrame] = {}
+
+    def table(name: str) -> DataFrame:
+        if name not in made:
+            made[name] = _TABLES[name](staging, table)
+        return made[name]
+
+    for name in names or _TABLES:
+        table(name)
+    return made
 
 
 def write_star(tables: dict[str, DataFrame], path: str) -> None:
