@@ -66,7 +66,7 @@ class Settings:
     few: int = 8  # members of a list that forms all pairs
     pivots: int = 16  # of a component, for the members of longer lists
     chunk: int = 1000  # partners that a text meets in one task
-    broadcast_bytes: int = 16_000_000  # that a join may send to all tasks
+    broadcast_bytes: int = 64_000_000  # that a join may send to all tasks
 
 
 EXACT = Settings(k=1 << 40)
@@ -280,7 +280,6 @@ def linked_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, s: Sett
     met = docs.join(_small(wanted, s), "id").select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
     links = saved(sure.unionByName(met.select("a", "b", "text").mapInArrow(_exact(s), T.StructType(pair))), "near-linked")
     discard(states, wanted)
-    del sized, met, partners, own, parts
     release(docs.sparkSession)
     return links
 
@@ -296,15 +295,18 @@ def near_components(docs: DataFrame, s: Settings = Settings(), *, doc_id: str =
     key = ["n", "d1", "d2"]
     schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in key), T.StructField("sketch", T.BinaryType())])
     every = saved(docs.mapInArrow(_sketch(s), schema), "near-sketches")
-    classes = every.where("n > 0").groupBy(*key).agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("rows"))
-    classes = saved(classes, "near-classes")
+    classes = saved(every.where("n > 0").groupBy(*key).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows")), "near-classes")
     small = saved(every.select("id", *key), "near-every")
+    named = classes.where("id is not null")
+    alone = every.join(_small(named.where("rows = 1").select("id", "d1"), s), ["id", "d1"], "left_semi").select("id", "n", "sketch")
+    copied = every.drop("id").join(_small(named.where("rows > 1").select("id", *key), s), key).groupBy("id", *key).agg(F.first("sketch").alias("sketch"))
+    sketches = saved(alone.unionByName(copied.select("id", "n", "sketch")), "near-reps")
     discard(every)
     release(docs.sparkSession)
-    label = _components(classes.where("id is not null").select("id", "n", "sketch"), docs, small, s)
+    label = _components(sketches, docs, small, s)
     several = classes.join(label.withColumnRenamed("component", "low"), "id", "left").where("rows > 1 or low is not null")  # the others' component is their own id
     several = saved(several.select(*key, F.coalesce("low", "id").alias("component")), "near-named")
-    discard(classes, label)
+    discard(classes, sketches, label)
     out = small.join(_small(several, s), key, "left")
     return out.select("id", "n", F.coalesce("component", "id").alias("component"))  # sets without shingles are in no class
 
@@ -314,20 +316,19 @@ def _components(sketches: DataFrame, docs: DataFrame, every: DataFrame, s: Setti
     kind = docs.schema["id"].dataType
     flat = sketches.mapInArrow(_sketch_values, _rows_schema(kind))
     lists = saved(_listed(flat, _after(s, whole=False)).drop("back"), "near-lists")
-    del flat
     release(docs.sparkSession)
     hub = lists.groupBy("value").agg(F.max_by(F.struct("id", "n"), F.struct("listings", "id")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     every_list = saved(lists.join(hub, "value"), "near-rest")
     discard(lists)
     ids = saved(every_list.select("id").distinct(), "near-ids")
     known = saved(sketches.join(_small(ids, s), "id", "left_semi"), "near-listed")
-    texts = docs.join(_small(ids, s), "id", "left_semi")
     repeated = saved(every.join(_small(ids, s), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"), "near-repeated")
-    if not repeated.isEmpty():
-        again = texts.join(_small(repeated, s), "id", "left_semi").dropDuplicates(["id", "text"])
-        texts = texts.join(_small(repeated, s), "id", "left_anti").unionByName(again)
-    texts = saved(texts, "near-texts")
-    discard(ids, repeated)
+    texts = docs
+    if not repeated.isEmpty():  # their equal rows are taken once
+        again = docs.join(_small(repeated, s), "id", "left_semi").dropDuplicates(["id", "text"])
+        texts = docs.join(_small(repeated, s), "id", "left_anti").unionByName(again)
+    discard(ids)
+    release(docs.sparkSession)
     rest = every_list.where("hub.id != id")
     pairs = rest.where(_alike_sizes("hub.n", "n", s)).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     links = linked_pairs(pairs, known, texts, s)
@@ -349,7 +350,7 @@ def _components(sketches: DataFrame, docs: DataFrame, every: DataFrame, s: Setti
     discard(placed)
     pairs = _pairs_by_whole_sets(texts.join(_small(open_lists, s), "id", "left_semi"), label, kind, s)
     more = linked_pairs(pairs, known, texts, s)
-    discard(open_lists, known, texts)
+    discard(open_lists, known, repeated)
     if not more.isEmpty():
         links = _with(links, more)
         discard(label)
@@ -386,7 +387,6 @@ def _pairs_by_whole_sets(texts: DataFrame, label: DataFrame, kind: T.DataType, s
     flat = saved(texts.mapInArrow(_whole_sets(s), _rows_schema(kind)), "near-sets")
     listed = saved(_listed(flat, _after(s, whole=True)).drop("listings"), "near-places")
     discard(flat)
-    release(texts.sparkSession)
     entries = saved(_placed(listed, label), "near-places")
     discard(listed)
 
