@@ -14,7 +14,11 @@ history of those vectors, so nothing is kept per document between the steps.
 
 Edge cases: null and empty texts have no tokens, the sample's domain shares as
 posterior, and their rate follows from those; without labelled rows all posteriors
-are equal; an empty table gives no rows.
+are equal; an empty table gives no rows. Where labels repeat an id, its lowest
+domain counts; where documents do, one of their texts (that of the lowest features)
+is learned, each row gets posterior and rate of its own text, and mix() goes by the
+highest rate. Long texts are taken whole. Other columns are not read, and pass
+through mix() whatever their names.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
 from .blob import pack, unpack
-from .shared import free_name, saved
+from .shared import discard, free_name, saved, small
 
 U64 = np.uint64
 #: Buckets of words, of their first five bytes, of their last two.
@@ -41,11 +45,13 @@ _OFFSETS = np.r_[0, np.cumsum(_BUCKETS)]
 @dataclass(frozen=True)
 class Settings:
     sample: int = 3000  # labelled documents that the classifier learns from, at most
+    sample_bytes: int = 64_000_000  # of their features; the document that reaches it is the last
     rounds: int = 150  # of its gradient descent
     decay: float = 1e-4
     ridge: float = 0.003
     steps: int = 60  # of the fit, at most
     tolerance: float = 1e-4  # change of a domain's share at which the fit ends
+    broadcast_bytes: int = 64_000_000  # that a join may send to all tasks
 
 
 @dataclass(frozen=True)
@@ -73,13 +79,20 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = features[b.bounds[i] : b.bounds[i + 1]]
                 keys, counts = W.summed(own.ravel())
                 blobs.append(pack(keys, counts, np.array([len(own)])))
-            yield pa.RecordBatch.from_arrays([batch.column("domain").slice(b.first, b.rows), pa.array(blobs, pa.binary())], ["domain", "features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(b.first, b.rows) for c in ("id", "domain")), pa.array(blobs, pa.binary())], ["id", "domain", "features"])
 
 
 def learn(labelled: DataFrame, s: Settings = Settings()) -> Classifier | None:
-    """labelled: text, domain, order_ (which rows a sample takes first). None without rows."""
-    kept = labelled.where("domain is not null and text is not null")
-    rows = kept.mapInArrow(_sampled, "domain string, features binary").collect()  # s.sample rows at most
+    """labelled: id, text, domain, any number of rows for each of s.sample ids at most. None without rows."""
+    kept = labelled.where("domain is not null and text is not null").select("id", "text", "domain")
+    schema = T.StructType([kept.schema["id"], T.StructField("domain", T.StringType()), T.StructField("features", T.BinaryType())])
+    each = saved(kept.mapInArrow(_sampled, schema).groupBy("id", "domain").agg(F.min("features").alias("features")), "mixing-sample")
+    size = F.octet_length("features")
+    before = F.sum("size").over(Window.orderBy("order", "id")) - F.col("size")  # over s.sample short rows
+    taken = each.select("id", size.alias("size"), F.xxhash64("id").alias("order")).withColumn("before", before).where(F.col("before") < s.sample_bytes)
+    rows = each.join(F.broadcast(taken.select("id")), "id").collect()
+    discard(each)
+    rows.sort(key=lambda r: r["id"])
     if not rows:
         return None
     domains = tuple(sorted({r["domain"] for r in rows}))
@@ -113,7 +126,7 @@ def learn(labelled: DataFrame, s: Settings = Settings()) -> Classifier | None:
 
 def posteriors(docs: DataFrame, classifier: Classifier, keep: list[str], text: str = "text") -> DataFrame:
     """keep, tokens and q (a posterior for each domain) of each row."""
-    source = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).alias("text"))
+    source = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("text"))
     added = [T.StructField("tokens", T.LongType()), T.StructField("q", T.ArrayType(T.DoubleType()))]
     schema = T.StructType([f for f in source.schema.fields if f.name != "text"] + added)
     shared = source.sparkSession.sparkContext.broadcast((classifier.weights, classifier.bias))  # of fixed size
@@ -184,15 +197,16 @@ def fit(soft: DataFrame, target: np.ndarray, s: Settings = Settings()) -> np.nda
 
 def with_rates(soft: DataFrame, history: np.ndarray, s: Settings = Settings()) -> DataFrame:
     """soft and the rate of each row."""
-    schema = T.StructType([*soft.schema.fields, T.StructField("rate", T.DoubleType())])
-    k = history.shape[1]
+    names, k = [*soft.columns, "rate"], history.shape[1]
+    plain = soft.toDF(*(c if c in ("tokens", "q") else f"k{i}" for i, c in enumerate(soft.columns)))  # names that need no quotes
+    schema = T.StructType([*plain.schema.fields, T.StructField("rate", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rate = rates_of(_table(batch, k)[1], history, s)[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], schema.names)
 
-    return soft.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*names)
 
 
 def copies(rate: Column, *key: Column, whole_from: float | None = None) -> Column:
@@ -212,11 +226,11 @@ TARGET = {"clean": 0.96, "low": 0.04, "toxic": 0.0}
 
 def soft_documents(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, tuple[str, ...]]:
     """doc_id, tokens, q of every row, and the domains of q. labels: doc_id, domain."""
-    chosen = labels.where("domain is not null and doc_id is not null").dropDuplicates(["doc_id"])
+    chosen = labels.where("domain is not null and doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     sample = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
     sample = sample.select(F.col("doc_id").alias("labelled_"), "domain")
-    pairs = docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("id_") == F.col("labelled_"))
-    classifier = learn(pairs.select("text", "domain"), s)
+    pairs = docs.select(F.col(f"`{doc_id}`").alias("id_"), F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), F.col("id_") == F.col("labelled_"))
+    classifier = learn(pairs.select(F.col("labelled_").alias("id"), "text", "domain"), s)
     if classifier is None:
         classifier = Classifier(tuple(sorted(TARGET)), np.zeros((_OFFSETS[-1], len(TARGET)), np.float32), np.zeros(len(TARGET)))
     return saved(posteriors(docs, classifier, [doc_id], text), "mixing-soft"), classifier.domains
@@ -232,10 +246,8 @@ def mixed(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET,
 def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] = TARGET, s: Settings = Settings(), *, doc_id: str = "doc_id", text: str = "text", whole_from: float = 0.5) -> DataFrame:
     """The rows of docs, each as often as its rate says; doc_id is taken to be distinct (rows that share one go by the highest rate)."""
     rated, _ = mixed(docs, labels, target, s, doc_id=doc_id, text=text)
-    plan = saved(rated.groupBy(F.col(doc_id).alias("mixed_")).agg(F.max("rate").alias("rate")).select("mixed_", copies(F.col("rate"), F.col("mixed_"), whole_from=whole_from).alias("n_")).where("n_ != 1"), "mixing-plan")
-    if plan.count() <= 2_000_000:
-        plan = F.broadcast(plan)
-    rows = docs.alias("d").join(plan.alias("m"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("m.mixed_")), "left")
+    plan = saved(rated.groupBy(F.col(f"`{doc_id}`").alias("mixed_")).agg(F.max("rate").alias("rate")).select("mixed_", copies(F.col("rate"), F.col("mixed_"), whole_from=whole_from).alias("n_")).where("n_ != 1"), "mixing-plan")
+    rows = docs.alias("d").join(small(plan, s.broadcast_bytes).alias("m"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("m.mixed_")), "left")
     n = F.coalesce("m.n_", F.lit(1))
     times = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     copy = free_name(docs, "copy")

@@ -52,7 +52,7 @@ from ..operators.graph import components
 from ..storage import discard, release
 from ..storage import stored as saved
 from . import words as W
-from .shared import free_name
+from .shared import free_name, small
 
 U64 = np.uint64
 
@@ -250,11 +250,7 @@ def _exact(s: Settings):
 
 
 def _small(df: DataFrame, s: Settings) -> DataFrame:
-    """df for a join: sent to all tasks if its rows take no more than s.broadcast_bytes there, measured."""
-    width = F.lit(16)
-    for field in df.schema.fields:
-        width += F.coalesce(F.octet_length(field.name), F.lit(0)) + 16 if isinstance(field.dataType, T.StringType | T.BinaryType) else F.lit(16)
-    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= s.broadcast_bytes else df
+    return small(df, s.broadcast_bytes)
 
 
 def linked_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:

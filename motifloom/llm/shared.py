@@ -16,11 +16,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import discard, shared_dir
 from ..storage import stored as saved
 
-__all__ = ["discard", "free_name", "map_array", "saved", "shared_dir", "write_array"]
+__all__ = ["discard", "free_name", "map_array", "saved", "shared_dir", "small", "write_array"]
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -31,6 +33,15 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df for a join: sent to all tasks if its rows take no more than `most` bytes there, measured."""
+    width = F.lit(16)
+    for field in df.schema.fields:
+        name = F.col(f"`{field.name}`")
+        width += F.coalesce(F.octet_length(name), F.lit(0)) + 16 if isinstance(field.dataType, T.StringType | T.BinaryType) else F.lit(16)
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most else df
+
+
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
 

@@ -87,6 +87,28 @@ def test_no_labels_and_empty_tables(spark):
     assert mixing.mix(nothing, labels).count() == nothing.count()
 
 
+def test_repeated_ids_and_the_bytes_of_the_sample(spark):
+    _, docs, labels = tables(spark, 200)
+    twice, both = docs.unionByName(docs), labels.unionByName(labels)
+    pairs = docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "domain")
+    one, two = (mixing.learn(x) for x in (pairs, pairs.unionByName(pairs)))
+    assert one.domains == two.domains and np.allclose(one.weights, two.weights) and np.allclose(one.bias, two.bias)
+    first = mixing.learn(pairs, mixing.Settings(sample_bytes=1))
+    assert len(first.domains) == 1  # a single document
+    out, domains = mixing.mixed(twice, both)
+    assert domains == ("clean", "low", "toxic") and out.count() == twice.count()
+    assert out.groupBy("doc_id").agg(F.countDistinct("rate").alias("n")).where("n > 1").isEmpty()
+
+
+def test_names_with_a_dot_and_long_texts(spark):
+    _, docs, labels = tables(spark, 60)
+    long = spark.createDataFrame([(20_000, "good1 good2 " * 100_000, 1, 2)], docs.schema)
+    odd = docs.unionByName(long).withColumnsRenamed({"doc_id": "doc.id", "text": "the.text"})
+    out, _ = mixing.mixed(odd, labels, doc_id="doc.id", text="the.text")
+    assert out.where("`doc.id` = 20000").first()["tokens"] == 200_000
+    assert mixing.mix(odd, labels, doc_id="doc.id", text="the.text").columns == odd.columns
+
+
 def test_domains_of_labels(spark):
     rows = spark.createDataFrame([(1, 0), (0, 0), (0, 1), (1, 1), (None, 0), (1, None)], "quality int, toxic int")
     assert [r[0] for r in rows.select(mixing.domain()).collect()] == ["clean", "low", "toxic", "toxic", None, None]
