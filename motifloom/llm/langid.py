@@ -11,13 +11,18 @@ is kept as sorted hash arrays in the shared folder, with one column a language,
 and memory-mapped by the workers.
 
 The language with the lowest cross-entropy a character wins. Its confidence is
-the posterior over the languages of a text of at most `evidence` characters. A
-text whose cross-entropy lies above what `1 - reject` of the learning texts of
-that language have is marked as rejected.
+the posterior over the languages of a text of at most `evidence` characters. One
+tenth of the learning texts, by a hash of the text, is left out of the models and
+calibrates the rejection: a text whose cross-entropy lies above what `1 - reject` of
+those of its language have is marked as rejected.
 
 Edge cases: `und` with score 0 where the text is null or has no letter, or where
 nothing could be learned; ties go to the first language by name; learning leaves
-out null languages.
+out null languages. A language all of whose texts fall into the tenth learns from
+them instead; one without a text there rejects none. Rows that repeat an id or a text
+are each counted and each predicted (equal texts fall on one side of the tenth).
+Texts of any length are scored whole. Other columns play no part, and where a kept
+one has the name of an added one, the added one gets an underscore.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .shared import map_array, saved, shared_dir, write_array
+from .shared import free_name, map_array, saved, shared_dir, write_array
 
 U64 = np.uint64
 _BETWEEN = np.ones(256, bool)  # ASCII without its letters
@@ -43,6 +48,7 @@ _BETWEEN[65:91] = _BETWEEN[97:123] = False
 _BLOCK_BYTES = 4_000_000
 _FLUSH_GRAMS = 2_000_000
 _ROWS_A_SHARD = 2_000_000
+_LEAST_ROWS_A_SHARD = 10_000  # fewer only to have one shard
 
 
 @dataclass(frozen=True)
@@ -173,7 +179,8 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", order: int
     weight = contexts.select("lang", "n", F.col("before").alias("key"), (F.col("given") / F.col("total")).alias("value"))
     shards, symbols = [], 0
     for name, table, missing in (("gram", kept, 0.0), ("context", weight, 1.0)):
-        count = max(1, -(-rows.count() // _ROWS_A_SHARD))
+        n_rows = table.count()
+        count = max(1, -(-n_rows // _ROWS_A_SHARD), min(spark.sparkContext.defaultParallelism, n_rows // _LEAST_ROWS_A_SHARD))
         wide = F.shiftrightunsigned("key", 32)
         table = table.withColumn("shard", F.shiftrightunsigned(wide * F.lit(count).cast("long"), 32))
         sizes = table.groupBy("n", "shard").applyInPandas(_write(path, name, len(languages), missing), "n int, keys long").groupBy("n").sum("keys").collect()
@@ -192,9 +199,10 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
 def _lookup(model: Model, name: str, n: int, keys: np.ndarray, missing: float) -> np.ndarray:
     shards = dict(model.shards)[name]
     out = np.full((len(keys), len(model.languages)), missing, np.float32)
-    shard = ((keys >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64) if shards > 1 else None
+    rising = np.argsort(keys)
+    bounds = np.searchsorted((keys[rising] >> U64(32)) * U64(shards) >> U64(32), np.arange(shards + 1, dtype=U64))
     for s in range(shards):
-        at = slice(None) if shard is None else np.flatnonzero(shard == s)
+        at = rising[bounds[s] : bounds[s + 1]]
         own = keys[at]
         try:
             have = map_array(f"{model.path}/{name}-{n}-key-{s}.npy")
@@ -229,11 +237,13 @@ def _has_letter(block: W.Block) -> np.ndarray:
     return out
 
 
-def _predict(model: Model | None, evidence: float):
+def _predict(model: Model | None, evidence: float, names: list[str]):
+    """names: of all columns that come out; the last column that comes in is the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores, bits = [], [], []
-            for block in W.blocks(_lowered(batch.column("text")), block_bytes=_BLOCK_BYTES, space=_BETWEEN):
+            for block in W.blocks(_lowered(batch.column(batch.num_columns - 1)), block_bytes=_BLOCK_BYTES, space=_BETWEEN):
                 fit = _has_letter(block)
                 if model is None or not len(block.start):
                     langs += ["und"] * block.rows
@@ -257,27 +267,35 @@ def _predict(model: Model | None, evidence: float):
                 bits.append(np.where(fit, low, np.nan))
             if langs:
                 columns = [pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(bits), from_pandas=True)]
-                kept = [f.name for f in batch.schema if f.name != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, "lang_pred", "score", "bits"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names)
 
     return run
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], *, text: str = "text", evidence: float = 40.0) -> DataFrame:
-    """keep, lang_pred, score and bits (the winner's cross-entropy a character) of each row."""
-    source = docs.select(*(F.col(c) for c in keep), F.col(text).alias("text"))
-    fields = [f for f in source.schema.fields if f.name != "text"]
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())]
-    return source.mapInArrow(_predict(model, evidence), T.StructType([*fields, *added]))
+    """keep, lang_pred, score (the winner's posterior on at most `evidence` characters) and bits (its cross-entropy a character) of each row."""
+    kept = docs.select(*(F.col(f"`{c}`") for c in keep))
+    fields = [T.StructField(free_name(kept, n), kind) for n, kind in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits", T.DoubleType()))]
+    schema = T.StructType([*kept.schema.fields, *fields])
+    source = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("text"))
+    return source.mapInArrow(_predict(model, evidence, schema.names), schema)
+
+
+def calibrating(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Column:
+    """Which learning rows are left out of the models: a tenth by text, where their language has others."""
+    tenth = F.pmod(F.xxhash64(f"`{text}`"), F.lit(10)) == 0
+    others = docs.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull()).groupBy(F.col(f"`{lang}`").alias("lang")).agg(F.bool_or(~tenth).alias("some"))
+    named = [r["lang"] for r in others.where("some").toLocalIterator()]  # one row a language
+    return F.coalesce(tenth & F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isin(named), F.lit(False))
 
 
 def op10_language_id(spark, sf_dir: str, reject: float = 0.002) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
     docs = docs.withColumn("held_out", out)
-    model = train(docs.where(~F.col("held_out")))
-    found = saved(predict(docs, model, ["doc_id", "held_out"]), "langid-found")
-    learned = found.where(~F.col("held_out") & F.col("bits").isNotNull())
-    limits = {r["lang_pred"]: r["most"] for r in learned.groupBy("lang_pred").agg(F.percentile_approx("bits", 1 - reject, 10_000).alias("most")).collect()}  # one row a language
+    docs = docs.withColumn("calibrates", ~F.col("held_out") & calibrating(docs.where(~F.col("held_out"))))
+    model = train(docs.where(~F.col("held_out") & ~F.col("calibrates")))
+    found = saved(predict(docs, model, ["doc_id", "held_out", "calibrates"]), "langid-found")
+    limits = {r["lang_pred"]: r["most"] for r in found.where(F.col("calibrates") & F.col("bits").isNotNull()).groupBy("lang_pred").agg(F.percentile_approx("bits", 1 - reject, 10_000).alias("most")).collect()}  # one row a language
     limit = F.coalesce(*(F.when(F.col("lang_pred") == x, F.lit(v)) for x, v in limits.items())) if limits else F.lit(None).cast("double")
     return found.withColumn("rejected", F.coalesce(F.col("bits") > limit, F.col("lang_pred") == "und"))

@@ -1,6 +1,9 @@
 import math
+import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from motifloom.llm import langid
 
 
@@ -92,6 +95,45 @@ def test_predictions(spark, tmp_path):
     assert got[106]["rejected"] or got[106]["held_out"] is False
 
 
+def test_rejects_about_the_share_asked_for(spark, tmp_path):
+    rng = random.Random(5)
+    names = {"aa": "abcdefgh", "bb": "hijklmno"}
+    known = {x: ["".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(60)] for x, letters in names.items()}
+    rows = [(i, " ".join(rng.choices(known[x], k=30)), x) for i, x in ((i, rng.choice(["aa", "bb"])) for i in range(1200))]
+    rows += [(2000 + i, " ".join("".join(rng.choices("pqrstuvwxyz", k=5)) for _ in range(30)), None) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in langid.op10_language_id(spark, str(tmp_path), reject=0.1).collect()}
+    assert all(got[i]["lang_pred"] == x for i, _, x in rows if i < 2000)
+    held = [got[i]["rejected"] for i in range(1200) if got[i]["held_out"]]
+    assert 0.02 < sum(held) / len(held) < 0.25
+    assert all(got[2000 + i]["rejected"] for i in range(20))
+    calibrating = {rows[i][1] for i in range(1200) if got[i]["calibrates"]}
+    assert 60 < len(calibrating) < 140 and not any(got[i]["calibrates"] for i in got if got[i]["held_out"])
+
+
+def test_calibration_leaves_every_language_some_text(spark):
+    docs = spark.createDataFrame([(f"word{i}", "rare" if i % 7 else "other") for i in range(40)] + [("x", None), (None, "rare")], "text string, lang string")
+    tenth = docs.where("pmod(xxhash64(text), 10) = 0 and lang = 'rare' and text is not null")
+    assert tenth.count() and tenth.where(langid.calibrating(tenth)).count() == 0
+    assert docs.where(langid.calibrating(docs) & F.col("lang").isNull()).count() == 0
+
+
+def test_shards_give_the_same_predictions(spark, monkeypatch):
+    docs = table(spark)
+    one = langid.predict(docs, langid.train(docs), ["doc_id"]).orderBy("doc_id").collect()
+    monkeypatch.setattr(langid, "_LEAST_ROWS_A_SHARD", 20)
+    model = langid.train(docs)
+    assert min(n for _, n in model.shards) > 1
+    assert langid.predict(docs, model, ["doc_id"]).orderBy("doc_id").collect() == one
+
+
+def test_clashing_names(spark):
+    docs = table(spark).select("doc_id", "text", "lang", F.lit(1).alias("lang_pred"), F.lit("b").alias("bits"), "score", F.lit(2).alias("a.b"))
+    got = langid.predict(docs, langid.train(docs), docs.columns)
+    assert got.columns == [*docs.columns, "lang_pred_", "score_", "bits_"]
+    assert {r["doc_id"]: r["lang_pred_"] for r in got.collect()}[0] == "en"
+
+
 def test_nothing_to_learn_from(spark):
     docs = table(spark)
     assert langid.train(docs.where("false")) is None
