@@ -12,15 +12,14 @@ the first segment, in which it can be found, so it is verified once.
 Edge cases: null vectors are in no answer and have none; a query is itself a row
 and so among its own answers; ties go to the lower id; fewer than k rows give
 fewer answers; components that a vector lacks count as not positive, those
-beyond the code's length are left out.
+beyond the code's length are left out. Rows that repeat an id are answers of their
+own, as are queries that repeat one; other columns of the tables are left out.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 from .shared import saved
 
 BITS = 64
+_PROBES_A_TASK = 500_000
 
 
 def sign_code(vector: str, bits: int = BITS) -> Column:
@@ -40,9 +40,13 @@ def _segment(code: str, s: int, width: int) -> Column:
     return F.shiftrightunsigned(code, s * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def _masks(width: int, radius: int) -> Column:
-    masks = [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
-    return F.from_json(F.lit(json.dumps(masks)), "array<long>")
+def _flipped(probes: DataFrame, width: int, radius: int) -> DataFrame:
+    """probes, with `value` for each way to flip `radius` bits of it; bits are chosen lowest first, so each way once."""
+    probes = probes.withColumn("next", F.lit(0))
+    for left in range(radius - 1, -1, -1):
+        probes = probes.withColumn("bit", F.explode(F.sequence("next", F.lit(width - 1 - left))))
+        probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.expr("shiftleft(1L, bit)"))).withColumn("next", F.col("bit") + 1).drop("bit")
+    return probes.drop("next")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -70,11 +74,14 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked = saved(queries.where("code is not null").select(F.col("code").alias("query")).distinct(), "code-queries")
     open_queries, best = asked.withColumn("far", F.lit(BITS)), None  # far: no code beyond can be among the k nearest
     for r in range(width + 1):
-        if open_queries.isEmpty():
+        n_open = open_queries.count()
+        if not n_open:
             break
-        probes = F.array(*(F.struct(F.lit(s).alias("s"), _segment("query", s, width).alias("own")) for s in range(segments)))
-        probes = open_queries.select("query", "far", F.explode(probes).alias("p"), _masks(width, r).alias("masks"))
-        probes = probes.select("query", "far", "p.s", "p.own", F.explode("masks").alias("mask")).select("query", "far", "s", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        probes = F.array(*(F.struct(F.lit(s).alias("s"), _segment("query", s, width).alias("value")) for s in range(segments)))
+        probes = open_queries.select("query", "far", F.explode(probes).alias("p")).select("query", "far", "p.s", "p.value")
+        if (tasks := -(-n_open * segments * math.comb(width, r) // _PROBES_A_TASK)) > 1:
+            probes = probes.repartition(min(tasks, n_open * segments), "query", "s")
+        probes = _flipped(probes, width, r)
         gaps = [F.bit_count(_segment("query", s, width).bitwiseXOR(_segment("code", s, width))) for s in range(segments)]
         first = F.array_position(F.array(*gaps), F.lit(r)) - 1 == F.col("s")
         # by shuffle: the planner takes the probes for as few rows as there are queries, and would broadcast them

@@ -40,3 +40,19 @@ def test_far_codes_need_wide_radii(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(60)]
     assert run(spark, rows, 25) == brute(rows, 25)
+
+
+def test_every_way_to_flip_bits_once(spark):
+    for width, radius in ((5, 0), (5, 2), (5, 5), (8, 3)):
+        got = [r["value"] for r in codes._flipped(spark.createDataFrame([(9,)], "value long"), width, radius).collect()]
+        assert sorted(got) == sorted(9 ^ m for m in range(1 << width) if m.bit_count() == radius)
+
+
+def test_probes_in_many_tasks_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(codes, "_PROBES_A_TASK", 100)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(120)]
+    assert run(spark, rows, 5) == brute(rows, 5)
+    table = spark.createDataFrame([(50, 1), (50, 3), (51, 3), (51, 3)], "id long, code long")
+    got = codes.top_k(table, table.where("id = 50").withColumnRenamed("id", "query_id"), 2).collect()
+    assert sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in got) == [(50, 1, 50, 0), (50, 1, 50, 0), (50, 2, 50, 1), (50, 2, 51, 0)]
