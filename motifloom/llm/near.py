@@ -52,9 +52,10 @@ from ..operators.graph import components
 from ..storage import discard, release
 from ..storage import stored as saved
 from . import words as W
-from .shared import free_name, small
+from .shared import free_name, lean, small
 
 U64 = np.uint64
+_BLOCK_BYTES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -103,7 +104,7 @@ def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 def _sketch(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in W.blocks(batch.column("text"), lower=True):
+            for b in W.blocks(batch.column("text"), lower=True, block_bytes=_BLOCK_BYTES):
                 row, g = shingles(b, s.words)
                 n = np.bincount(row, minlength=b.rows)
                 bounds = np.r_[0, np.cumsum(n)]
@@ -162,7 +163,7 @@ def _sketch_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _whole_sets(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in W.blocks(batch.column("text"), lower=True):
+            for block in W.blocks(batch.column("text"), lower=True, block_bytes=_BLOCK_BYTES):
                 row, g = shingles(block, s.words)
                 yield from _rows(g, row, batch.column("id").slice(block.first, block.rows), np.bincount(row, minlength=block.rows))
 
@@ -224,7 +225,7 @@ def _exact(s: Settings):
         of, ended = None, True
         for batch in batches:
             own = np.asarray(batch.column("b").is_null())
-            for block in W.blocks(batch.column("text"), lower=True):
+            for block in W.blocks(batch.column("text"), lower=True, block_bytes=_BLOCK_BYTES):
                 row, g = shingles(block, s.words)
                 n = np.bincount(row, minlength=block.rows)
                 bounds = np.r_[0, np.cumsum(n)]
@@ -264,7 +265,7 @@ def linked_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, s: Sett
     sized = pairs
     for end in "ab":
         sized = sized.join(sketches.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
-    states = sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_estimated(s), T.StructType([*pair, T.StructField("state", T.IntegerType())]))
+    states = sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(lean(_estimated(s)), T.StructType([*pair, T.StructField("state", T.IntegerType())]))
     states = saved(states, "near-states")
     discard(pairs)
     sure, unsure = states.where("state = 1").select("a", "b"), states.where("state = 2").select("a", "b")
@@ -274,7 +275,7 @@ def linked_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, s: Sett
     own = parts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast(kind).alias("b"))
     wanted = saved(own.unionByName(partners), "near-wanted")
     met = docs.join(_small(wanted, s), "id").select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
-    links = saved(sure.unionByName(met.select("a", "b", "text").mapInArrow(_exact(s), T.StructType(pair))), "near-linked")
+    links = saved(sure.unionByName(met.select("a", "b", "text").mapInArrow(lean(_exact(s)), T.StructType(pair))), "near-linked")
     discard(states, wanted)
     release(docs.sparkSession)
     return links
@@ -290,7 +291,7 @@ def near_components(docs: DataFrame, s: Settings = Settings(), *, doc_id: str =
     kind = docs.schema["id"].dataType
     key = ["n", "d1", "d2"]
     schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in key), T.StructField("sketch", T.BinaryType())])
-    every = saved(docs.mapInArrow(_sketch(s), schema), "near-sketches")
+    every = saved(docs.mapInArrow(lean(_sketch(s)), schema), "near-sketches")
     classes = saved(every.where("n > 0").groupBy(*key).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows")), "near-classes")
     small = saved(every.select("id", *key), "near-every")
     named = classes.where("id is not null")
@@ -310,7 +311,7 @@ def near_components(docs: DataFrame, s: Settings = Settings(), *, doc_id: str =
 def _components(sketches: DataFrame, docs: DataFrame, every: DataFrame, s: Settings) -> DataFrame:
     """id, component of the linked ones among sketches (id, n, sketch) of distinct sets; written. every: id, a row for each of docs."""
     kind = docs.schema["id"].dataType
-    flat = sketches.mapInArrow(_sketch_values, _rows_schema(kind))
+    flat = sketches.mapInArrow(lean(_sketch_values), _rows_schema(kind))
     lists = saved(_listed(flat, _after(s, whole=False)).drop("back"), "near-lists")
     release(docs.sparkSession)
     hub = lists.groupBy("value").agg(F.max_by(F.struct("id", "n"), F.struct("listings", "id")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
@@ -380,7 +381,7 @@ def _pairs_by_whole_sets(texts: DataFrame, label: DataFrame, kind: T.DataType, s
     can have follow from i. Each list joins its members outside its main component, at those sizes, with all others.
     """
     t = s.threshold
-    flat = saved(texts.mapInArrow(_whole_sets(s), _rows_schema(kind)), "near-sets")
+    flat = saved(texts.mapInArrow(lean(_whole_sets(s)), _rows_schema(kind)), "near-sets")
     listed = saved(_listed(flat, _after(s, whole=True)).drop("listings"), "near-places")
     discard(flat)
     entries = saved(_placed(listed, label), "near-places")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .shared import free_name, saved
+from .shared import free_name, lean, saved
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
@@ -110,7 +110,7 @@ def with_counts(docs: DataFrame, text: str, name: str) -> DataFrame:
                 counts = [pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(counts, list(COUNTS))], [*own, "counts"])
 
-    return plain.mapInArrow(run, schema).toDF(*docs.columns, name)
+    return plain.mapInArrow(lean(run), schema).toDF(*docs.columns, name)
 
 
 def base_failed(counts: str = "") -> Column:

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean, short_slices
+
 KINDS = ("assign", "access", "hex", "der", "openssh", "jwt")
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
 
@@ -378,7 +380,7 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     """doc_id, counts of the base kinds, base_sha256 and spans (kind:start:end, comma-joined) of each row."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(_find, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return source.mapInArrow(lean(_find), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(text: str, mask: str = "[SECRET]") -> str:
@@ -393,21 +395,23 @@ def redacted(text: str, mask: str = "[SECRET]") -> str:
 
 def redact(docs: DataFrame, *, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """docs with the secrets in text masked; length, if docs has it, follows the new text."""
-    schema = docs.schema
+    at = docs.columns.index(text)
+    k = docs.columns.index(length) if length in docs.columns else None
+    plain = docs.toDF(*(f"k{i}" for i in range(len(docs.columns))))  # names with a dot can't be handed over
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            old = batch.column(at).to_pylist()
+        for batch in (part for b in batches for part in short_slices(b, at)):
+            columns = list(batch.columns)
+            old = columns[at].to_pylist()
             new = [None if t is None else redacted(t) for t in old]
-            batch = batch.set_column(at, text, pa.array(new, batch.schema.field(at).type))
-            if length and (k := batch.schema.get_field_index(length)) >= 0:
-                kept = batch.column(k).to_pylist()
+            columns[at] = pa.array(new, columns[at].type)
+            if k is not None:
+                kept = columns[k].to_pylist()
                 sizes = [n if a == b else len(b) for n, a, b in zip(kept, old, new, strict=True)]
-                batch = batch.set_column(k, length, pa.array(sizes, batch.schema.field(k).type))
-            yield batch
+                columns[k] = pa.array(sizes, columns[k].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*docs.columns)
 
 
 def op5_secret_scans(spark, sf_dir: str) -> DataFrame:

@@ -8,12 +8,16 @@ are first copied to an unnamed local file.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +26,9 @@ from pyspark.sql import types as T
 from ..storage import discard, shared_dir
 from ..storage import stored as saved
 
-__all__ = ["discard", "free_name", "map_array", "saved", "shared_dir", "small", "write_array"]
+__all__ = ["discard", "free_name", "lean", "map_array", "saved", "shared_dir", "short_slices", "small", "write_array"]
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -42,6 +48,31 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most else df
 
 
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, for mapInArrow; a worker, which outlives its tasks, gives back at the end of each what that freed."""
+
+    def out(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+                trim(0)
+
+    return out
+
+
+def short_slices(batch: pa.RecordBatch, text: int, most: int = 2_000_000) -> Batches:
+    """All rows of batch, in runs of about `most` bytes in column `text` or one longer text."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(batch):
+        before = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, before + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
 _BLOCK_BYTES = 2_000_000
+_POWERS_STEP = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -58,7 +59,7 @@ _cache: dict[str, np.ndarray] = {}
 
 def _table(name: str, base: int, n: int) -> np.ndarray:
     if name not in _cache or len(_cache[name]) < n:
-        _cache[name] = _powers(base, max(n, _BLOCK_BYTES + 1_000_000))
+        _cache[name] = _powers(base, -(-n // _POWERS_STEP) * _POWERS_STEP)
     return _cache[name][:n]
 
 

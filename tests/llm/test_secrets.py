@@ -5,7 +5,10 @@ import os
 import re
 import time
 
+import pyarrow as pa
+
 from motifloom.llm import secrets as S
+from motifloom.llm.shared import short_slices
 
 
 def der(tag, *content):
@@ -169,3 +172,19 @@ def test_long_runs_take_linear_time():
         began = time.perf_counter()
         S.confirmed_spans(text)
         assert time.perf_counter() - began < (1 if unit == "ey" else 20), unit  # a quadratic search takes minutes
+
+
+def test_short_slices_hold_every_row_once():
+    texts = ["a" * n for n in (5, 0, 30, 1, 1, 9)] + [None, "bb"]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(8)), "text": texts})
+    for most in (1, 6, 10, 1000):
+        parts = list(short_slices(batch, 1, most))
+        assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(8))
+        assert all(len(p) == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= most for p in parts)
+    assert list(short_slices(batch.slice(0, 0), 1)) == []
+
+
+def test_redacts_beside_a_name_with_a_dot(spark):
+    docs = spark.createDataFrame([("password=abcdefghijklmnop", 1, 25), (None, 2, None)], "text string, `a.b` int, n_chars long")
+    got = {r["a.b"]: (r["text"], r["n_chars"]) for r in S.redact(docs).collect()}
+    assert got == {1: ("[SECRET]", 8), 2: (None, None)}
