@@ -17,14 +17,17 @@ FIRST, LAST, LEAST = 10, 50, 30  # ranks (from 0) that the regression uses; modu
 def expectation_model(modules: DataFrame, by: list[str] | None = None) -> DataFrame:
     """alpha, beta, rmse, r_squared of ln(rank) on score over the modules of ranks FIRST to LAST, for groups of more than LEAST.
 
-    The best modules are left out as the real signal. modules: score and, for ties, module.
+    The best modules are left out as the real signal. modules: score and, for ties, module. If those ranks all have one
+    score, no line is determined: alpha and r_squared are null then, beta and rmse NaN.
     """
     by = by or []
     order = Window.partitionBy(*by).orderBy(F.desc("score"), "module")
     ranked = modules.withColumn("r", F.row_number().over(order)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     used = ranked.where((F.col("all") > LEAST) & (F.col("r") > FIRST) & (F.col("r") <= LAST)).withColumn("y", F.log("r"))
-    fit = used.groupBy(*by).agg(F.regr_intercept("y", "score").alias("alpha"), F.regr_slope("y", "score").alias("beta"), F.sqrt((F.regr_syy("y", "score") - F.pow(F.regr_sxy("y", "score"), 2) / F.regr_sxx("y", "score")) / F.count(F.lit(1))).alias("rmse"), F.regr_r2("y", "score").alias("r_squared"))
-    return fit.where("alpha is not null")
+    sxx, none = F.regr_sxx("y", "score"), F.lit(float("nan"))
+    rmse = F.when(sxx != 0, F.sqrt((F.regr_syy("y", "score") - F.try_divide(F.pow(F.regr_sxy("y", "score"), 2), sxx)) / F.count(F.lit(1)))).otherwise(none)
+    fit = used.groupBy(*by).agg(F.regr_intercept("y", "score").alias("alpha"), F.coalesce(F.regr_slope("y", "score"), none).alias("beta"), rmse.alias("rmse"), F.regr_r2("y", "score").alias("r_squared"), F.count(F.lit(1)).alias("n_"))
+    return fit.where("n_ > 0").drop("n_")
 
 
 def expected_modules(score: Column, alpha: Column, beta: Column, r_squared: Column) -> Column:

@@ -43,7 +43,7 @@ def module_lines(columns: DataFrame, weights: Weights = Weights(), descriptions:
     other = F.get(others, F.lit(0))
     tail = F.when(F.count(F.lit(1)).over(by) == 2, F.format_string('\tTarget "%s";\tStart %d;\tEnd %d;\tStrand .;\tFrame .;\t', other["seq"], other["begin"], other["end"])).otherwise("")
     spans = spans.withColumn("tail", tail)
-    if model is not None and (m := model.first()) is not None and m["r_squared"] > 0.1:
+    if model is not None and (m := model.first()) is not None and (m["r_squared"] or 0) > 0.1:
         spans = spans.withColumn("tail", F.concat("tail", F.lit("Escore "), short_number(F.exp(F.lit(m["alpha"]) + F.lit(m["beta"]) * F.col("score"))), F.lit("\t")))
     if tags is not None:
         spans = spans.join(tags.select(F.col("seq_id").alias("seq"), F.col("seq").alias("letters")), "seq", "left")

@@ -131,6 +131,18 @@ def test_expectation_model_needs_enough_modules(spark):
     assert math.isclose(fit["beta"], beta) and math.isclose(fit["alpha"], my - beta * mx)
 
 
+def test_modules_of_one_score_have_no_expectation(spark, tmp_path):
+    from motifloom.plans import site_queries as Q
+
+    orders = [(i, "1-URGENT", 500.0 if i < 50 else 100.0 + i) for i in range(80)] + [(100 + i, "5-LOW", 500.0 - i) for i in range(40)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["module"]: r["expected"] for r in Q.expected_modules(spark, str(tmp_path)).collect()}
+    assert len(got) == 120 and all((got[m] is None) == (m < 80) for m in got)
+    fit = {r["o_orderpriority"]: r for r in Q.expectation_model(spark, str(tmp_path)).collect()}
+    flat = fit["1-URGENT"]
+    assert len(fit) == 2 and flat["alpha"] is None and flat["r_squared"] is None and math.isnan(flat["rmse"]) and math.isnan(flat["beta_millionth"])
+
+
 def test_star_is_consistent(spark, tmp_path):
     head = ("f1", "HUMAN", "ENSG1", "g", "Watson", "db", "1", 100, 900, "CisModule", 1, 50, 20.0, ".", 1, None)
     site = ("f1", "HUMAN", "ENSG1", "g", "Watson", "db", "1", 100, 900, "tf", 1, 6, 9.0, "+", 1, 3.0)
