@@ -25,14 +25,14 @@ def only(sites: DataFrame, *sequences: str) -> DataFrame:
     return sites.where(F.col("seq").isin(*sequences))
 
 
-def part(sites: DataFrame, first: Column | int, last: Column | int) -> DataFrame:
-    """Sites by place in their sequence, from 0, both ends included."""
-    nth = F.row_number().over(ordered_by_sequence()) - 1
+def part(sites: DataFrame, first: Column | int, last: Column | int, *ties: str) -> DataFrame:
+    """Sites by place in their sequence, from 0, both ends included; of sites alike in place, motif and strand, by the columns of ties."""
+    nth = F.row_number().over(ordered_by_sequence(*ties)) - 1
     return sites.withColumn("i_", nth).where(F.col("i_").between(first, last)).drop("i_")
 
 
-def ordered_by_sequence() -> Window:
-    return Window.partitionBy("seq").orderBy("begin", "end", "motif", "strand")
+def ordered_by_sequence(*ties: str) -> Window:
+    return Window.partitionBy("seq").orderBy("begin", "end", "motif", "strand", *ties)
 
 
 def head(sites: DataFrame, n: int) -> DataFrame:

@@ -143,6 +143,19 @@ def test_modules_of_one_score_have_no_expectation(spark, tmp_path):
     assert len(fit) == 2 and flat["alpha"] is None and flat["r_squared"] is None and math.isnan(flat["rmse"]) and math.isnan(flat["beta_millionth"])
 
 
+def test_part_of_sites_alike_goes_by_event(spark, tmp_path):
+    import datetime as dt
+
+    from motifloom.plans import site_queries as Q
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1000 - 2 * i, at + dt.timedelta(seconds=i), user, "view", float(i), "{}") for user in range(5) for i in range(12)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    got = Q.site_part(spark, str(tmp_path)).collect()
+    assert sorted((r["seq"], r["score"]) for r in got) == [(str(user), float(i)) for user in range(5) for i in range(5, 10)]
+    assert got[0].__fields__ == ["seq", "motif", "begin", "end", "score", "strand"]
+
+
 def test_star_is_consistent(spark, tmp_path):
     head = ("f1", "HUMAN", "ENSG1", "g", "Watson", "db", "1", 100, 900, "CisModule", 1, 50, 20.0, ".", 1, None)
     site = ("f1", "HUMAN", "ENSG1", "g", "Watson", "db", "1", 100, 900, "tf", 1, 6, 9.0, "+", 1, 3.0)
