@@ -7,7 +7,7 @@ cells taken away, and the scores that hung on them worked out again, for as many
 chains as are asked for. The unit of work is a group of sequences; dense groups
 are one sequential pass over the cells, whose steps are found by band joins in
 numpy. Groups whose cells fall apart into islands with no step between them can
-be worked on island by island (align_pairs with islands).
+be worked on island by island, many at a time (align_pairs, align_next).
 
 Of equal scores the first cell in order of begin, end, motif, strand stands.
 """
@@ -22,6 +22,8 @@ from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ from ..functions.penalty import Weights, general_penalty, step_penalty
 from .sites import REACH
 
 _CHUNK = 2_000_000
+_ISLANDS = 200_000  # cells worked on at once, if islands are no larger
 
 
 @dataclass
@@ -117,6 +120,78 @@ class Chains:
                 touch(c)
 
 
+def settle(base: np.ndarray, steps: Steps, score: np.ndarray, back: np.ndarray, active: np.ndarray) -> None:
+    """Works out the scores of the cells in active, and of all that hang on those that change, many at a time.
+
+    base is -inf for a cell that is taken away. The results are those of Chains, to the last bit.
+    """
+    while len(active):
+        count = steps.first[active + 1] - steps.first[active]
+        from_ = np.cumsum(count) - count
+        at = np.arange(int(count.sum())) + np.repeat(steps.first[active] - from_, count)
+        worth = score[steps.source[at]] - steps.cost[at]
+        best = np.maximum.reduceat(worth, from_)
+        hit = np.flatnonzero(worth == np.repeat(best, count))
+        source = steps.source[at[hit[np.searchsorted(hit, from_)]]]
+        new = np.where(best > 0, base[active] + np.where(best > 0, best, 0), base[active])
+        back[active] = np.where(best > 0, source, -1)
+        moved = np.zeros(len(base), bool)
+        moved[active] = new != score[active]
+        score[active] = new
+        active = steps.after(moved)
+
+
+@dataclass
+class Steps:
+    """first, source and cost of step_lists, with the cells that they lead to."""
+
+    first: np.ndarray
+    source: np.ndarray
+    cost: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.target = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    def after(self, moved: np.ndarray) -> np.ndarray:
+        """The cells with a step from one of moved, in order."""
+        reached = np.zeros(len(moved), bool)
+        reached[self.target[moved[self.source]]] = True
+        return np.flatnonzero(reached)
+
+    def reached(self) -> np.ndarray:
+        return np.flatnonzero(np.diff(self.first))
+
+
+def chains_by_part(base: np.ndarray, steps: Steps, starts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The n best chains of each part, a round a chain: score, part, and cells and parts of the paths, from their ends.
+
+    A part is a run of cells from one of starts up to the next, without steps to others.
+    """
+    base = base.copy()
+    score, back = base.copy(), np.full(len(base), -1)
+    part = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(base)]))
+    settle(base, steps, score, back, steps.reached())
+    for _ in range(n):
+        best = np.maximum.reduceat(score, starts)
+        hit = np.flatnonzero(score == best[part])
+        head = hit[np.searchsorted(hit, starts)]
+        which = np.flatnonzero(best > 0)
+        if not len(which):
+            return
+        cells, parts, at, of = [], [], head[which], which
+        while len(at):
+            cells.append(at)
+            parts.append(of)
+            at = back[at]
+            at, of = at[at >= 0], of[at >= 0]
+        path, of = np.concatenate(cells), np.concatenate(parts)
+        yield best[which], which, path, of, score[path]
+        base[path] = score[path] = -np.inf
+        gone = np.zeros(len(base), bool)
+        gone[path] = True
+        settle(base, steps, score, back, steps.after(gone))
+
+
 def cells_of(sequences: list[pd.DataFrame], gap_limit: int = 0) -> Cells:
     """The cells of site lists (begin, end, weight, label), each in order.
 
@@ -382,28 +457,192 @@ def islands(cells: DataFrame) -> DataFrame:
     return cells.withColumn("new_", new).withColumn("island", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("new_")
 
 
-def align_pairs(cells: DataFrame, n: int = 3, weights: Weights = Weights()) -> DataFrame:
-    """seq_x, seq_y, rank and columns of the n best modules of every pair in cells, island by island.
+_PAIRS = "seq_x string, seq_y string, score double, col int, motif string, strand string, begin_x int, end_x int, begin_y int, end_y int, weight_x double, weight_y double, cum_score double, rank int"
+
+
+@dataclass
+class PairCells:
+    """Cells of many pairs of sequences, pair by pair, in order of begin, end, motif and strand."""
+
+    pair: np.ndarray
+    begin: np.ndarray  # n x 2
+    end: np.ndarray
+    weight: np.ndarray
+    label: np.ndarray
+
+    def apart(self) -> tuple[Cells, np.ndarray]:
+        """As cells of one pair, in which no step leads from one pair to another; and where islands start."""
+        begin, end = self.begin.copy(), self.end.copy()
+        if len(begin):
+            low, high = int(begin[:, 0].min()), int(end[:, 0].max())
+            shift = self.pair * (high - low + 2 * REACH) - low
+            begin[:, 0] += shift
+            end[:, 0] += shift
+        cells = Cells(begin, end, self.weight, self.label, np.zeros(begin.shape, np.int64))
+        return cells, np.flatnonzero(np.r_[True, begin[1:, 0] - np.maximum.accumulate(end[:, 0])[:-1] >= REACH][: len(begin)])
+
+    def taken(self, at: slice) -> PairCells:
+        return PairCells(*(getattr(self, f)[at] for f in ("pair", "begin", "end", "weight", "label")))
+
+
+def best_of_pairs(own: PairCells, n: int, w: Weights) -> tuple[np.ndarray, ...]:
+    """For the n best modules of every pair, column by column: cell, rank, column, running score, module's score.
 
     A path takes cells of one island only, so the best of a pair are the best of its islands' best; equal scores go by
     where they begin.
     """
-    keys = "seq_x string, seq_y string, island long, nth int, score double, col int, motif string, strand string, begin_x int, end_x int, begin_y int, end_y int, weight_x double, weight_y double, cum_score double"
-    names = [k.split()[0] for k in keys.split(", ")]
+    cells, starts = own.apart()
+    found = []
+    cuts = [0] if len(starts) else []
+    for i in range(1, len(starts)):
+        if starts[i] - starts[cuts[-1]] > _ISLANDS:
+            cuts.append(i)
+    for a, b in zip(cuts, [*cuts[1:], len(starts)], strict=True):
+        at = slice(starts[a], starts[b] if b < len(starts) else len(cells.begin))
+        some = Cells(*(getattr(cells, f)[at] for f in ("begin", "end", "weight", "label", "site")))
+        base = w.lam * 1.0 * some.weight.sum(axis=1)
+        for nth, (score, which, path, of, running) in enumerate(chains_by_part(base, Steps(*step_lists(some, w)), starts[a:b] - starts[a], n)):
+            start = np.full(b - a, len(base))
+            np.minimum.at(start, of, path)
+            module = np.full(b - a, -1.0)
+            module[which] = score
+            found.append((path + at.start, of + a, np.full(len(path), nth), module[of], running, start[of] + at.start))
+    if not found:
+        return (np.zeros(0, np.int64),) * 5
+    cell, island, nth, score, running, start = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((cell, nth, island, own.begin[start, 0], -score, own.pair[cell]))
+    cell, island, nth, score, running = (x[order] for x in (cell, island, nth, score, running))
+    pair = own.pair[cell]
+    new = np.r_[True, (np.diff(pair) != 0) | (np.diff(island) != 0) | (np.diff(nth) != 0)]
+    module = np.cumsum(new) - 1
+    heads = np.flatnonzero(new)
+    first = np.r_[True, np.diff(pair[heads]) != 0]
+    rank = module - np.maximum.accumulate(np.where(first, np.arange(len(heads)), 0))[module] + 1
+    keep = rank <= n
+    return cell[keep], rank[keep], (np.arange(len(cell)) - heads[module])[keep], running[keep], score[keep]
+
+
+def _whole(batches: Iterator[pa.RecordBatch], by: list[str], least: int) -> Iterator[pa.Table]:
+    """Batches in order of by put together to tables of so many rows or more that part no group."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        table = pa.Table.from_batches(held)
+        last = [table[c][rows - 1].as_py() for c in by]
+        same = np.ones(rows, bool)
+        for c, value in zip(by, last, strict=True):
+            same &= pc.equal(table[c], value).to_numpy(zero_copy_only=False)
+        whole = rows - int(same.sum())
+        if whole:
+            yield table.slice(0, whole)
+            held = table.slice(whole).combine_chunks().to_batches()
+            rows -= whole
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _labels(table: pa.Table) -> tuple[np.ndarray, list[tuple[str, str]]]:
+    """Numbers of the rows' motifs and strands, in order, and what they stand for."""
+    motif, strand = (table[c].combine_chunks().dictionary_encode() for c in ("motif", "strand"))
+    names = [(m, s) for m in motif.dictionary.to_pylist() for s in strand.dictionary.to_pylist()]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    both = motif.indices.to_numpy().astype(np.int64) * len(strand.dictionary) + strand.indices.to_numpy()
+    return place[both], [names[i] for i in order]
+
+
+def _numbers(table: pa.Table, name: str, kind=np.int64) -> np.ndarray:
+    return table[name].to_numpy().astype(kind)
+
+
+def pair_cells(pair: np.ndarray, nth: np.ndarray, label: np.ndarray, begin: np.ndarray, end: np.ndarray, weight: np.ndarray) -> Iterator[PairCells]:
+    """The cells of pairs' sites (nth 0 and 1: the side), as many pairs at a time as have about _ISLANDS of them."""
+    if not len(pair):
+        return
+    order = np.lexsort((weight, label, end, begin, pair))
+    pair, nth, label, begin, end, weight = (v[order] for v in (pair, nth, label, begin, end, weight))
+    x, y = (np.flatnonzero(nth == i) for i in (0, 1))
+    key = pair * (int(label.max()) + 1) + label
+    y = y[np.argsort(key[y], kind="stable")]
+    low = np.searchsorted(key[y], key[x], "left")
+    count = np.searchsorted(key[y], key[x], "right") - low
+    upto = np.cumsum(count)
+    last = np.flatnonzero(np.r_[np.diff(pair[x]) != 0, True][: len(x)])  # of each pair
+    a = 0
+    while a < len(x):
+        begun = int(upto[a - 1]) if a else 0
+        ends = last[last >= a]
+        b = int(ends[max(0, int(np.searchsorted(upto[ends], begun + _ISLANDS, "right")) - 1)]) + 1
+        i = np.repeat(x[a:b], count[a:b])
+        j = y[np.arange(len(i)) + np.repeat(low[a:b] - (upto[a:b] - count[a:b] - begun), count[a:b])]
+        yield PairCells(pair[i], np.stack([begin[i], begin[j]], axis=1), np.stack([end[i], end[j]], axis=1), np.stack([weight[i], weight[j]], axis=1), label[i])
+        a = b
+
+
+def _modules(own: PairCells, names: list[tuple[str, str]], x: pa.Array, y: pa.Array, n: int, w: Weights) -> pa.RecordBatch:
+    """The pairs' best modules as rows of _PAIRS. x, y: the names of the pairs' sequences by pair."""
+    cell, rank, col, running, score = best_of_pairs(own, n, w)
+    label, pair = own.label[cell], own.pair[cell]
+    motif, strand = (pa.array([k[i] for k in names], pa.string()).take(pa.array(label)) for i in (0, 1))
+    whole = lambda v: pa.array(v, pa.int32())
+    values = [x.take(pa.array(pair)), y.take(pa.array(pair)), pa.array(score), whole(col), motif, strand, *(whole(v[cell, i]) for i in (0, 1) for v in (own.begin, own.end)), *(pa.array(own.weight[cell, i]) for i in (0, 1)), pa.array(running), whole(rank)]
+    return pa.RecordBatch.from_arrays(values, names=[c.split()[0] for c in _PAIRS.split(", ")])
+
+
+def _runs(*columns: pa.ChunkedArray) -> np.ndarray:
+    """Numbers, from 0, of the runs of equal rows."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        codes = c.combine_chunks().dictionary_encode().indices.to_numpy()
+        new[1:] |= np.diff(codes) != 0
+    return np.cumsum(new)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["begin_x", "end_x", "motif", "strand", "begin_y"], kind="stable").reset_index(drop=True)
-        two = lambda c: pdf[[f"{c}_x", f"{c}_y"]].to_numpy()
-        own = Cells(two("begin"), two("end"), two("weight"), np.zeros(len(pdf), np.int64), np.zeros((len(pdf), 2), np.int64))
-        rows = []
-        for nth, (score, path, running) in enumerate(best_chains(chains_of(own, weights), n)):
-            for col, (c, upto) in enumerate(zip(path, running, strict=True)):
-                r = pdf.iloc[c]
-                rows.append((r["seq_x"], r["seq_y"], r["island"], nth, score, col, r["motif"], r["strand"], r["begin_x"], r["end_x"], r["begin_y"], r["end_y"], r["weight_x"], r["weight_y"], upto))
-        return pd.DataFrame(rows, columns=names)
-
-    found = islands(cells).groupBy("seq_x", "seq_y", "island").applyInPandas(run, keys)
-    starts = F.min("begin_x").over(Window.partitionBy("seq_x", "seq_y", "island", "nth"))
-    order = Window.partitionBy("seq_x", "seq_y").orderBy(F.desc("score"), "start_", "island", "nth")
-    ranked = found.withColumn("start_", starts).withColumn("rank", F.dense_rank().over(order))
-    return ranked.where(F.col("rank") <= n).drop("start_", "island", "nth")
+
+def align_pairs(cells: DataFrame, n: int = 3, weights: Weights = Weights()) -> DataFrame:
+    """seq_x, seq_y, rank and columns of the n best modules of every pair in cells."""
+    by = ["seq_x", "seq_y"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches, by, _ISLANDS):
+            label, names = _labels(table)
+            pair = _runs(*(table[c] for c in by))
+            two = lambda c, kind=np.int64, t=table: np.stack([_numbers(t, f"{c}_{s}", kind) for s in "xy"], axis=1)
+            own = PairCells(pair, two("begin"), two("end"), two("weight", np.float64), label)
+            order = np.lexsort((*own.weight.T, own.end[:, 1], own.begin[:, 1], label, own.end[:, 0], own.begin[:, 0], pair))
+            heads = pa.array(np.flatnonzero(np.r_[True, np.diff(pair) != 0]))
+            yield _modules(own.taken(order), names, *(table[c].combine_chunks().take(heads) for c in by), n, weights)
+
+    return _dealt(cells, by).mapInArrow(run, _PAIRS)
+
+
+def align_next(sites: DataFrame, n: int = 3, weights: Weights = Weights()) -> DataFrame:
+    """As align_pairs, of every sequence with the one of the next number; the cells are made where they are worked on."""
+    own = sites.select(*_SITE).where("motif is not null and strand is not null")
+    number = F.col("seq").try_cast("long")
+    sides = F.array(*(F.struct((number - i).alias("pair"), F.lit(i).alias("nth")) for i in (0, 1)))
+    grouped = own.withColumn("side", F.explode(sides)).select("side.*", *_SITE).where("pair is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches, ["pair"], _ISLANDS // 8):
+            label, names = _labels(table)
+            nth, pair = _numbers(table, "nth"), _runs(table["pair"])
+            seq = table["seq"].combine_chunks()
+            named = []
+            for i in (0, 1):
+                place = np.full(int(pair.max()) + 1, 0)
+                place[pair[nth == i]] = np.flatnonzero(nth == i)
+                named.append(seq.take(pa.array(place)))
+            for cells in pair_cells(pair, nth, label, _numbers(table, "begin"), _numbers(table, "end"), _numbers(table, "score", np.float64)):
+                yield _modules(cells, names, *named, n, weights)
+
+    return _dealt(grouped, ["pair"]).mapInArrow(run, _PAIRS)
+
+
+def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows in order of by, groups whole, over as many tasks as the session shuffles to, or 64."""
+    tasks = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
+    return rows.repartition(tasks, *by).sortWithinPartitions(*by)

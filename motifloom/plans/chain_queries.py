@@ -10,7 +10,6 @@ from ..sinks import gff, text
 from ..sources.trees import parse_newick
 from ..storage import stored
 from . import inputs as I
-from .site_queries import next_cells
 
 #: The tree of every five sequences in a row, by their places.
 TREE = "(((0,1),2),(3,4));"
@@ -18,7 +17,7 @@ TREE = "(((0,1),2),(3,4));"
 
 def align_pairs(spark, sf_dir):
     """The three best modules of every sequence with the next."""
-    return chain.align_pairs(next_cells(spark, sf_dir), 3)
+    return chain.align_next(I.sites(spark, sf_dir), 3)
 
 
 def _groups(spark, sf_dir, size: int):

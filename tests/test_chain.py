@@ -298,3 +298,49 @@ def test_climb_improves():
     value = lambda w: -float(np.abs(np.array([w.lam, w.mu, w.nu, w.xi]) - target).sum())
     w, got = stats.climb(value, rounds=200)
     assert got > value(Weights())
+
+
+def many_pairs(count, n=14, letters=3000, seed=0):
+    """Sites of sequences 0, 1, ... in several islands, some alike but for their weight."""
+    rng = np.random.default_rng(seed)
+    rows = [(str(s), "AB"[rng.integers(2)], int(b := rng.integers(0, letters)), int(b + 5), float(rng.integers(1, 5) * 100), "+-"[rng.integers(2)]) for s in range(count) for _ in range(n)]
+    rows += [(*r[:4], r[4] + 50, r[5]) for r in rows[::9]]
+    return pd.DataFrame(rows, columns=["seq", "motif", "begin", "end", "score", "strand"])
+
+
+@pytest.mark.parametrize("most", [1, 40, 10**6])
+def test_many_pairs_at_once_are_as_one_by_one(monkeypatch, most):
+    monkeypatch.setattr(chain, "_ISLANDS", most)
+    df = many_pairs(9)
+    number = df.seq.astype(int).to_numpy()
+    pair, nth = np.r_[number, number - 1], np.repeat([0, 1], len(df))
+    label = (df.motif + df.strand).map({k: i for i, k in enumerate(["A+", "A-", "B+", "B-"])}).to_numpy()
+    twice = lambda c: np.r_[df[c].to_numpy(), df[c].to_numpy()]
+    keep = (pair >= 0) & (pair < 8)
+    got = {}
+    for own in chain.pair_cells(*(v[keep] for v in (pair, nth, np.r_[label, label], twice("begin"), twice("end"), twice("score")))):
+        for c, rank, col, running, score in zip(*chain.best_of_pairs(own, 3, Weights())):
+            got.setdefault((int(own.pair[c]), int(rank)), []).append((int(col), tuple(own.begin[c]), float(running), float(score)))
+    want = {}
+    for p in range(8):
+        names = [str(p), str(p + 1)]
+        for (m, col), rows in chain.aligned_frame(df[df.seq.isin(names)], names, 3, Weights()).groupby(["module", "col"]):
+            rows = rows.set_index("seq").loc[names]
+            want.setdefault((p, m), []).append((col, tuple(rows.begin), rows.cum_score.iloc[0], rows.module_score.iloc[0]))
+    assert got.keys() == want.keys()
+    assert [sorted(v[0][3] for k, v in got.items() if k[0] == p) for p in range(8)] == [sorted(v[0][3] for k, v in want.items() if k[0] == p) for p in range(8)]
+    scores = [v[0][3] for v in want.values()]
+    alone = [k for k in want if scores.count(want[k][0][3]) == 1]
+    assert alone and all(got[k] == want[k] for k in alone)
+
+
+def test_next_sequences_give_the_same_from_sites_and_cells(spark):
+    df = many_pairs(7, seed=3)
+    df = pd.concat([df, df.assign(seq="20"), df[df.seq == "0"].assign(seq="x")])  # without a next one, and without a number
+    table = spark.createDataFrame(df).repartition(5)
+    x, y = (table.where("seq != 'x'").withColumn("pair", F.col("seq").cast("long") - i) for i in (0, 1))
+    side = lambda t, s: t.select("pair", "motif", "strand", *(F.col(c).alias(f"{n}_{s}") for c, n in (("seq", "seq"), ("begin", "begin"), ("end", "end"), ("score", "weight"))))
+    cells = side(x, "x").join(side(y, "y"), ["pair", "motif", "strand"]).drop("pair")
+    key = ["seq_x", "seq_y", "rank", "col"]
+    a, b = (t.toPandas().sort_values(key).reset_index(drop=True) for t in (chain.align_next(table), chain.align_pairs(cells)))
+    assert set(a.seq_x) == {str(i) for i in range(6)} and a.equals(b)
