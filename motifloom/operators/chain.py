@@ -493,11 +493,13 @@ def best_of_pairs(own: PairCells, n: int, w: Weights) -> tuple[np.ndarray, ...]:
     """
     cells, starts = own.apart()
     found = []
-    cuts = [0] if len(starts) else []
+    cuts = [0]
     for i in range(1, len(starts)):
         if starts[i] - starts[cuts[-1]] > _ISLANDS:
             cuts.append(i)
     for a, b in zip(cuts, [*cuts[1:], len(starts)], strict=True):
+        if a == b:
+            break
         at = slice(starts[a], starts[b] if b < len(starts) else len(cells.begin))
         some = Cells(*(getattr(cells, f)[at] for f in ("begin", "end", "weight", "label", "site")))
         base = w.lam * 1.0 * some.weight.sum(axis=1)
@@ -508,7 +510,7 @@ def best_of_pairs(own: PairCells, n: int, w: Weights) -> tuple[np.ndarray, ...]:
             module[which] = score
             found.append((path + at.start, of + a, np.full(len(path), nth), module[of], running, start[of] + at.start))
     if not found:
-        return (np.zeros(0, np.int64),) * 5
+        return *(np.zeros(0, np.int64),) * 3, *(np.zeros(0),) * 2
     cell, island, nth, score, running, start = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((cell, nth, island, own.begin[start, 0], -score, own.pair[cell]))
     cell, island, nth, score, running = (x[order] for x in (cell, island, nth, score, running))
