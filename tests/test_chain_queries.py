@@ -119,3 +119,29 @@ def test_search_values_weights_on_all_pairs(spark, sf_dir, monkeypatch):
     asked = []
     monkeypatch.setattr(stats, "climb", lambda *a, **how: asked.append(how) or (w, 1.0))
     assert Q.parameter_search(spark, sf_dir).count() == 1 and asked == [{}]  # the operator's own rounds
+
+
+def places(sites):
+    """The sites of every pairwise module of every pair, by its number."""
+    return {m: {(r.seq, r.begin, r.end, r.motif, r.strand) for r in own.itertuples()} for m, _, own in pairs(sites)}
+
+
+def test_overlaps_of_all_pairwise_modules(spark, sf_dir, sites, monkeypatch):
+    monkeypatch.setattr(chain, "islands", None)  # no window over all cells, and no group an island
+    own = places(sites)
+    want = {}
+    for a in own:
+        for b in own:
+            for seq, *_ in own[a] & own[b] if a < b else ():
+                want[a, b, seq] = want.get((a, b, seq), 0) + 1
+    got = {(r["a"], r["b"], r["seq"]): r["shared"] for r in Q.module_overlaps(spark, sf_dir).collect()}
+    assert want and got == want
+
+
+def test_contained_of_all_pairwise_modules(spark, sf_dir, sites, monkeypatch):
+    monkeypatch.setattr(chain, "islands", None)
+    own = places(sites)
+    on = lambda m: {s[0] for s in own[m]}
+    want = {(a, b) for a in own for b in own if a != b and own[a] & own[b] and {s for s in own[a] if s[0] in on(b)} <= own[b]}
+    got = {(r["a"], r["b"]) for r in Q.contained_modules(spark, sf_dir).collect()}
+    assert want and got == want
