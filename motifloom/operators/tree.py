@@ -25,7 +25,8 @@ from .. import schemas
 from ..functions.penalty import Weights
 from ..sources.trees import Node
 from ..storage import stored
-from .chain import Cells, best_chains, chains_of
+from .chain import Cells, Steps, best_chains, chains_by_part, chains_of, step_lists
+from .sites import REACH
 
 
 @dataclass
@@ -121,42 +122,133 @@ def align_tree(sites: DataFrame, tree: Node, method: str = "pairs", k: int = 100
     return {n.number: _columns(found[n.number], names) for n in tree.post_order() if n.name is None}
 
 
-def _best(parts: list[tuple[float, Columns, np.ndarray]], k: int) -> list[tuple[float, Columns, np.ndarray]]:
-    place = lambda p: (-p[0], p[1].begin.tolist(), p[1].end.tolist(), p[1].label.tolist())
-    return sorted(parts, key=place)[:k]
+_BY_COLUMN = ("label", "begin", "end", "weight", "running")
+_CELLS = 1_000_000  # of a node worked on at once, unless two rows have more
+
+
+@dataclass
+class Listed:
+    """A node's alignments, their columns one after another: row and score by alignment, the rest by column."""
+
+    names: list[str]
+    row: np.ndarray  # of each column, from 0
+    label: np.ndarray
+    begin: np.ndarray  # columns x sequences
+    end: np.ndarray
+    weight: np.ndarray
+    running: np.ndarray
+    score: np.ndarray
+
+    def rows(self, low: int, high: int) -> "Listed":
+        at = slice(*np.searchsorted(self.row, [low, high]))
+        return Listed(self.names, self.row[at] - low, *(getattr(self, f)[at] for f in _BY_COLUMN), self.score[low:high])
+
+    def and_(self, other: "Listed") -> "Listed":
+        both = lambda f: np.concatenate([getattr(self, f), getattr(other, f)])
+        return Listed(self.names, np.r_[self.row, other.row + len(self.score)], *(both(f) for f in _BY_COLUMN), both("score"))
+
+    def best(self, k: int) -> "Listed":
+        """The k best, in order; equal scores go by begins, ends and labels."""
+        if not len(self.score):
+            return self
+        first = np.searchsorted(self.row, np.arange(len(self.score)))
+        col = np.arange(len(self.row)) - first[self.row]
+        keys = []
+        for values in (self.begin, self.end, self.label[:, None]):
+            flat = np.full((len(self.score), int(col.max()) + 1, values.shape[1]), np.iinfo(np.int64).min)
+            flat[self.row, col] = values
+            keys.append(flat.reshape(len(self.score), -1))
+        best = np.lexsort((*np.concatenate(keys, axis=1).T[::-1], -self.score))[:k]
+        count = np.diff(np.r_[first, len(self.row)])[best]
+        at = np.repeat(first[best] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return Listed(self.names, np.repeat(np.arange(len(best)), count), *(getattr(self, f)[at] for f in _BY_COLUMN), self.score[best])
+
+    def represented(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """begin, end and weight as Columns.representative gives them; a leaf's own."""
+        if len(self.names) == 1:
+            return self.begin, self.end, self.weight
+        size = self.end[:, 0] - self.begin[:, 0]
+        inner = np.r_[False, self.row[1:] == self.row[:-1]][: len(self.row)]
+        gap = np.zeros(len(size), np.int64)
+        gap[1:] = np.where(inner[1:], np.trunc((self.begin[1:] - self.end[:-1]).mean(axis=1)), 0)
+        end = np.cumsum(gap + size)
+        head = np.maximum.accumulate(np.where(inner, 0, np.arange(len(size))))
+        end -= (end - size - gap)[head]
+        return (end - size)[:, None], end[:, None], self.weight[:, :1]
+
+
+def _nodes_best(a: Listed, b: Listed, each: int, k: int, method: str, w: Weights) -> Listed:
+    """The k best of the alignments that every pair of rows of a and b gives, `each` of a pair; many pairs at once."""
+    order = np.argsort(b.label, kind="stable")
+    low, high = (np.searchsorted(b.label[order], a.label, side) for side in ("left", "right"))
+    count = high - low
+    if count.sum() > _CELLS and max(len(a.score), len(b.score)) > 1:
+        (na, ha), (nb, hb) = ((len(c.score), max(1, len(c.score) // 2)) for c in (a, b))
+        parts = [(a.rows(0, ha), b), (a.rows(ha, na), b)] if na > 1 else [(a, b.rows(0, hb)), (a, b.rows(hb, nb))]
+        one, two = (_nodes_best(*part, each, k, method, w) for part in parts)
+        return one.and_(two).best(k)
+    (x, y), names = (((c.represented() if method == "representative" else (c.begin, c.end, c.weight)) for c in (a, b))), a.names + b.names
+    i = np.repeat(np.arange(len(a.label)), count)
+    j = order[np.arange(len(i)) + np.repeat(low - (np.cumsum(count) - count), count)]
+    begin, end, weight = (np.concatenate([p[i], q[j]], axis=1) for p, q in zip(x, y, strict=True))
+    label, pair = a.label[i], a.row[i] * (len(b.score) or 1) + b.row[j]
+    order = np.lexsort((begin[:, -1], label, end[:, 0], begin[:, 0], pair))
+    i, j, begin, end, weight, label, pair = (v[order] for v in (i, j, begin, end, weight, label, pair))
+    starts = np.flatnonzero(np.r_[True, np.diff(pair) != 0][: len(pair)])
+    parts = []
+    if len(pair):
+        d = begin.shape[1]
+        shift = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pair)])) * int(end[:, 0].max() - begin[:, 0].min() + 2 * REACH) - int(begin[:, 0].min())
+        base = w.lam * (d - 1) * weight.sum(axis=1)
+        apart = Cells(np.c_[begin[:, 0] + shift, begin[:, 1:]], np.c_[end[:, 0] + shift, end[:, 1:]], weight, label, np.zeros_like(begin))
+        steps = Steps(*step_lists(apart, w, "general" if method == "general" else "cross", x[0].shape[1]))
+        before = 0
+        for score, which, path, of, running in chains_by_part(base, steps, starts, each):
+            parts.append((score, path, np.searchsorted(which, of) + before, running))
+            before += len(score)
+    if not parts:
+        none, wide = np.zeros(0, np.int64), np.zeros((0, len(names)), np.int64)
+        return Listed(names, none, none, wide, wide, wide.astype(float), none.astype(float), none.astype(float))
+    score, path, of, running = (np.concatenate(v) for v in zip(*parts, strict=True))
+    least = -np.partition(-score, k - 1)[k - 1] if len(score) > k else -np.inf
+    keep = np.flatnonzero(score >= least)
+    place = np.full(len(score), -1)
+    place[keep] = np.arange(len(keep))
+    own = place[of] >= 0
+    path, of, running = path[own], place[of[own]], running[own]
+    order = np.lexsort((path, of))
+    path, of, running = path[order], of[order], running[order]
+    left, right = i[path], j[path]
+    columns = [a.label[left], *(np.concatenate([getattr(a, f)[left], getattr(b, f)[right]], axis=1) for f in ("begin", "end", "weight"))]
+    return Listed(names, of, *columns, running, score[keep]).best(k)
 
 
 def tree_frame(sites: pd.DataFrame, tree: Node, names: dict[str, str], n: int, method: str, k: int, w: Weights) -> pd.DataFrame:
     """The n best modules at the root, as align_tree finds them. names: the sequence of each leaf."""
-    keys = sorted(set(zip(sites["motif"], sites["strand"], strict=True)))
+    kinds = list(zip(sites["motif"], sites["strand"], strict=True))
+    keys = sorted(set(kinds))
     labels = {key: i for i, key in enumerate(keys)}
-    found: dict[int, list[tuple[float, Columns, np.ndarray]]] = {}
+    label = np.array([labels[key] for key in kinds], np.int64)
+    begin, end, weight = (sites[c].to_numpy(t) for c, t in (("begin", np.int64), ("end", np.int64), ("score", np.float64)))
+    seq = sites["seq"].to_numpy()
+    found: dict[int, Listed] = {}
     for node in tree.post_order():
         if node.name is not None:
-            own = sites[sites["seq"] == names.get(node.name)].sort_values(["begin", "end", "motif", "strand"], kind="stable")
-            label = np.array([labels[key] for key in zip(own["motif"], own["strand"], strict=True)], np.int64)
-            columns = Columns([names.get(node.name, "")], label, *(own[c].to_numpy()[:, None] for c in ("begin", "end", "score")))
-            found[node.number] = [(0.0, columns, np.zeros(len(own)))]
+            own = np.flatnonzero(seq == names.get(node.name))
+            own = own[np.lexsort((label[own], end[own], begin[own]))]
+            found[node.number] = Listed([names.get(node.name, "")], np.zeros(len(own), np.int64), label[own], *(v[own][:, None] for v in (begin, end, weight)), np.zeros(len(own)), np.zeros(1))
             continue
         left, right = (found.pop(c.number) for c in node.children)
         each = (k, math.ceil(math.sqrt(k)), 1)[sum(c.name is None for c in node.children)]
-        own_labels = [set(b.label.tolist()) for _, b, _ in right]
-        parts: list[tuple[float, Columns, np.ndarray]] = []
-        for _, a, _ in left:
-            held = set(a.label.tolist())
-            for (_, b, _), other in zip(right, own_labels, strict=True):
-                if not held.isdisjoint(other):  # without a common label there is no cell
-                    parts += aligned_columns(a, b, each, method, w)
-            if len(parts) > 4 * k + each * len(right):
-                parts = _best(parts, k)
-        found[node.number] = _best(parts, k)
-    out = []
-    for module, (score, c, running) in enumerate(found[tree.number][:n], 1):
-        for col in range(len(c.label)):
-            motif, strand = keys[c.label[col]]
-            delta = running[col] - (running[col - 1] if col else 0.0)
-            for i, seq in enumerate(c.names):
-                out.append((module, col, seq, motif, strand, int(c.begin[col, i]), int(c.end[col, i]), float(c.weight[col, i]), float(running[col]), float(delta), score))
+        found[node.number] = _nodes_best(left, right, each, k, method, w)
+    c, out = found[tree.number], []
+    for col in range(int(np.searchsorted(c.row, n))):
+        new = not col or c.row[col] != c.row[col - 1]
+        nth = 0 if new else nth + 1
+        motif, strand = keys[c.label[col]]
+        delta = c.running[col] - (0.0 if new else c.running[col - 1])
+        for i, name in enumerate(c.names):
+            out.append((int(c.row[col]) + 1, nth, name, motif, strand, int(c.begin[col, i]), int(c.end[col, i]), float(c.weight[col, i]), float(c.running[col]), float(delta), float(c.score[c.row[col]])))
     return pd.DataFrame(out, columns=[x.split()[0] for x in schemas.COLUMNS.split(", ")])
 
 

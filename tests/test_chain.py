@@ -344,3 +344,29 @@ def test_next_sequences_give_the_same_from_sites_and_cells(spark):
     key = ["seq_x", "seq_y", "rank", "col"]
     a, b = (t.toPandas().sort_values(key).reset_index(drop=True) for t in (chain.align_next(table), chain.align_pairs(cells)))
     assert set(a.seq_x) == {str(i) for i in range(6)} and a.equals(b)
+
+
+@pytest.mark.parametrize("method", ["pairs", "general", "representative"])
+@pytest.mark.parametrize("most", [20, 10**6])
+def test_tree_of_all_rows_at_once_is_as_row_by_row(monkeypatch, method, most):
+    monkeypatch.setattr(tree, "_CELLS", most)
+    df = random_sites(11, "abcde", 12, 300)
+    df["score"] = np.ceil(df.score)  # equal scores
+    root = parse_newick("(((0,1),2),(3,4));", {str(i) for i in range(5)})
+    got = tree.tree_frame(df, root, dict(zip("01234", "abcde")), 5, method, 9, Weights())
+    labels = {k: i for i, k in enumerate(sorted(set(zip(df.motif, df.strand))))}
+    found = {}
+    for node in root.post_order():
+        if node.name is not None:
+            own = df[df.seq == "abcde"[int(node.name)]].sort_values(["begin", "end", "motif", "strand"], kind="stable")
+            found[node.number] = [(0.0, tree.Columns([own.seq.iloc[0]], np.array([labels[k] for k in zip(own.motif, own.strand)]), *(own[c].to_numpy()[:, None] for c in ("begin", "end", "score"))), None)]
+            continue
+        left, right = (found[c.number] for c in node.children)
+        each = (9, 3, 1)[sum(c.name is None for c in node.children)]
+        parts = [x for _, a, _ in left for _, b, _ in right for x in tree.aligned_columns(a, b, each, method, Weights())]
+        found[node.number] = sorted(parts, key=lambda p: (-p[0], p[1].begin.tolist(), p[1].end.tolist(), p[1].label.tolist()))[:9]
+    assert len(found[root.number]) >= 5
+    for (m, own), (score, c, running) in zip(got.groupby("module"), found[root.number]):
+        first = own.groupby("col").first()
+        assert score == own.module_score.iloc[0] and first.cum_score.tolist() == running.tolist()
+        assert own.begin.tolist() == c.begin.ravel().tolist() and own.weight.tolist() == c.weight.ravel().tolist()
