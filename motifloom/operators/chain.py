@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.penalty import Weights, general_penalty, step_penalty
+from ..functions.penalty import Weights, folded_angle, general_penalty, step_penalty
 from .sites import REACH
 
 _CHUNK = 2_000_000
@@ -399,41 +399,63 @@ def align_short(sites: DataFrame, names: list[str], gap_limit: int = 0, n: int =
     return align(sites, names, n, weights, bonus="chain", gap_limit=gap_limit)
 
 
-def cells_of_groups(grouped: DataFrame, by: list[str]) -> DataFrame:
-    """by and packed: the cells of each group, and the steps between them, for best_scores. grouped: by, nth and sites."""
-    kinds = ", ".join(f"{c} string" for c in by)
-    tasks = max(64, int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
+def packed_pairs(grouped: DataFrame, by: list[str]) -> DataFrame:
+    """by and packed: the steps between the cells of many pairs, for best_scores. grouped: by, nth (0 or 1) and sites.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels = {k: i for i, k in enumerate(sorted(set(zip(pdf["motif"], pdf["strand"], strict=True))))}
-        cells = cells_of([_listed(own, labels) for _, own in pdf.groupby("nth")])
-        first, source, _ = step_lists(cells, Weights())
-        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in by} | {"packed": [pickle.dumps((cells, first, source))]})
+    A cell without a step counts only as its pair's best one; pairs without a cell have no place.
+    """
 
-    return grouped.repartition(tasks, *by).groupBy(*by).applyInPandas(run, f"{kinds}, packed binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches, by, _ISLANDS // 8):
+            pair = _runs(*(table[c] for c in by))
+            heads = np.flatnonzero(np.r_[True, np.diff(pair) != 0])
+            named = [table[c].combine_chunks().take(pa.array(heads)) for c in by]
+            for own in pair_cells(pair, _numbers(table, "nth"), _labels(table)[0], _numbers(table, "begin"), _numbers(table, "end"), _numbers(table, "score", np.float64)):
+                if not len(own.pair):
+                    continue
+                cells, _ = own.apart()
+                first, source, _ = step_lists(cells, Weights())
+                target = np.repeat(np.arange(len(own.pair)), np.diff(first))
+                gaps = (cells.begin[target] - cells.end[source] - 1).astype(np.int16)  # below REACH
+                starts = np.flatnonzero(np.r_[True, np.diff(own.pair) != 0])
+                group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(own.pair)]))
+                total = own.weight.sum(axis=1)
+                used = np.unique(np.r_[source, target])
+                packed = (np.maximum.reduceat(total, starts), group[used].astype(np.int32), total[used], *(np.searchsorted(used, v).astype(np.int32) for v in (source, target)), gaps)
+                names = [pa.array([x.take(pa.array(own.pair[starts])).to_pylist()], pa.list_(pa.string())) for x in named]
+                yield pa.RecordBatch.from_arrays([*names, pa.array([pickle.dumps(packed)], pa.binary())], names=[*by, "packed"])
+
+    own = grouped.select(*by, "nth", *_SITE).where("motif is not null and strand is not null")
+    return _dealt(own, by).mapInArrow(run, ", ".join(f"{c} array<string>" for c in by) + ", packed binary")
 
 
 def best_scores(packed: DataFrame, weights: Weights) -> DataFrame:
-    """packed's groups with the score of the best module (0 without any)."""
+    """packed's pairs with the score of the best module."""
     by = [c for c in packed.columns if c != "packed"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[by].copy()
-            out["score"] = [_best_score(*pickle.loads(x), weights) for x in pdf["packed"]]
-            yield out
-
-    return packed.mapInPandas(run, ", ".join(f"{c} string" for c in by) + ", score double")
-
-
-def _best_score(cells: Cells, first: np.ndarray, source: np.ndarray, w: Weights) -> float:
-    n, d = cells.begin.shape
-    if not n:
-        return 0.0
-    target = np.repeat(np.arange(n), np.diff(first))
-    cost = step_costs(cells.begin[target] - cells.end[source] - 1, w, "pairs", None)
-    base = w.lam * (d * (d - 1) / 2) * cells.weight.sum(axis=1)
-    return max(0.0, float(Chains(cells, base, first, source, cost).score.max()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, blob in enumerate(batch.column("packed")):
+                names = [batch.column(c)[i].values for c in by]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(_best_scores(*pickle.loads(blob.as_py()), weights))], names=[*by, "score"])
+
+    return packed.mapInArrow(run, ", ".join(f"{c} string" for c in by) + ", score double")
+
+
+def _best_scores(single: np.ndarray, group: np.ndarray, total: np.ndarray, source: np.ndarray, target: np.ndarray, gaps: np.ndarray, w: Weights) -> np.ndarray:
+    best = np.maximum(0.0, w.lam * 1.0 * single)
+    if len(total):
+        x, y = gaps.astype(np.int64).T
+        s, off = x + y, x - y
+        bent = w.nu * (off**2).astype(float) + w.xi * (folded_angle(np.arange(REACH), w.rotation) ** 2)[np.abs(off)]
+        cost = np.where(s > 0, w.mu * s / 2 + bent / np.maximum(s, 1), 0.0)  # step_penalty of few different gaps
+        base = w.lam * 1.0 * total
+        score = base.copy()
+        steps = Steps(np.searchsorted(target, np.arange(len(total) + 1)), source, cost)
+        settle(base, steps, score, np.full(len(base), -1), steps.reached())
+        heads = np.flatnonzero(np.r_[True, np.diff(group) != 0])
+        best[group[heads]] = np.maximum(best[group[heads]], np.maximum.reduceat(score, heads))
+    return best
 
 
 def align_near_pairs(sites: DataFrame, modules: DataFrame, names: list[str], gap_limit: int = 0, n: int = 1, buffer: int = 1000, weights: Weights = Weights()) -> DataFrame:

@@ -142,7 +142,7 @@ def pair_contrast(sites, groups):
 
     own = stored(sites, "search")
     side = lambda t, name: t.join(groups, "seq").withColumn("side", F.lit(name))
-    both = stored(chain.cells_of_groups(side(own, "own").unionByName(side(randomised(own, 3), "mixed")), ["side", "group"]), "search-cells")
+    both = stored(chain.packed_pairs(side(own, "own").unionByName(side(randomised(own, 3), "mixed")), ["side", "group"]), "search-cells")
 
     def value(w: Weights) -> float:
         sums = {r["side"]: r["score"] for r in chain.best_scores(both, w).groupBy("side").agg(F.sum("score").alias("score")).collect()}

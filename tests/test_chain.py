@@ -346,6 +346,16 @@ def test_next_sequences_give_the_same_from_sites_and_cells(spark):
     assert set(a.seq_x) == {str(i) for i in range(6)} and a.equals(b)
 
 
+@pytest.mark.parametrize("w", [Weights(), Weights(0.4, 0.01, 0.2, 3.0), Weights(5.0, 0.001, 0.001, 0.001)])
+def test_best_scores_of_many_pairs(spark, w):
+    df = many_pairs(6, seed=8)
+    groups = spark.createDataFrame([(str(p), str(p + i), i) for p in range(5) for i in (0, 1)] + [("none", "0", 0)], "group string, seq string, nth int")
+    packed = chain.packed_pairs(spark.createDataFrame(df).join(groups, "seq"), ["group"])
+    got = {r["group"]: r["score"] for r in chain.best_scores(packed, w).collect()}
+    want = {str(p): chain.aligned_frame(df[df.seq.isin([str(p), str(p + 1)])], [str(p), str(p + 1)], 1, w).module_score.iloc[0] for p in range(5)}
+    assert got == want
+
+
 @pytest.mark.parametrize("method", ["pairs", "general", "representative"])
 @pytest.mark.parametrize("most", [20, 10**6])
 def test_tree_of_all_rows_at_once_is_as_row_by_row(monkeypatch, method, most):
