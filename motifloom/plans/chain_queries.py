@@ -78,10 +78,9 @@ def _pairwise(spark, sf_dir):
     """The pairwise modules as sites with numbered modules, and the modules' scores."""
     found = align_pairs(spark, sf_dir)
     number = F.col("seq_x").cast("long") * 10 + F.col("rank")
-    site = ("seq", "begin", "end", "weight")
-    sides = F.array(*(F.struct(*(F.col(f"{c}_{s}").alias(c) for c in site)) for s in "xy"))
-    rows = found.select(number.alias("module"), "col", "motif", "strand", "cum_score", "score", F.explode(sides).alias("side"))  # a union would align twice
-    return stored(rows.select("module", "col", "side.seq", "motif", "strand", "side.begin", "side.end", "side.weight", "cum_score", "score"), "pairwise")
+    sides = F.array(*(F.struct(*(F.col(f"{c}_{s}").alias(c) for c in ("seq", "begin", "end"))) for s in "xy"))
+    rows = found.select(number.alias("module"), "col", "motif", "strand", "score", F.explode(sides).alias("side"))  # a union would align twice
+    return stored(rows.select("module", "col", "side.seq", "motif", "strand", "side.begin", "side.end", "score"), "pairwise")
 
 
 def merge_modules(spark, sf_dir):

@@ -165,7 +165,7 @@ def scores(sites):
     return {m: own.module_score.iloc[0] for m, _, own in pairs(sites)}
 
 
-@pytest.mark.parametrize("name", ["contained_modules"])
+@pytest.mark.parametrize("name", ["contained_modules", "module_overlaps"])
 def test_pairs_are_aligned_once_for_both_sequences(spark, sf_dir, monkeypatch, name):
     rows, aligned, seen = Q.align_pairs(spark, sf_dir).count(), Q.align_pairs, spark.sparkContext.accumulator(0)
 
